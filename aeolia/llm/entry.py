@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.pieces import op9_pieces
+from aeolia.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
     "op9_pieces": op9_pieces,
 }

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.pieces import op9_pieces
+from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
+    "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
 }
 ORACLES: dict[str, str] = {}

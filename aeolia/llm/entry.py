@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
+from aeolia.llm.near import op6_near
 from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
@@ -10,6 +11,7 @@ from aeolia.llm.toxicity import op2_toxicity
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
+    "op6_near": op6_near,
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
 }

@@ -5,10 +5,12 @@ from __future__ import annotations
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.near import op6_near
 from aeolia.llm.pieces import op9_pieces
+from aeolia.llm.quality import op1_quality
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
     "op6_near": op6_near,

@@ -4,7 +4,8 @@
 2. Any two sets that link share one of their first tokens in any order that all sets use, if
    each gives its first n - ceil(t * n) + 1. The order puts tokens by how common they are
    (a bounded table of frequent ones) and then by hash. Only sets that share such a token
-   with another set go on, with their whole token arrays.
+   with another set go on. Parity bits of each set bound what two sets can share; whole token
+   arrays are made only for sets that this bound leaves.
 3. Sets that share a first token form groups of similar sets. A few rounds compare every
    member with one set of its group only, so that most links fall inside known components.
 4. Exact pass. The sets of each component are cut into groups of at most ``GROUP`` members;
@@ -35,6 +36,8 @@ GROUP = 64
 #: Tokens that at least this many sets of one batch have may enter the table of frequent ones.
 OFTEN, MOST_FREQUENT = 4, 1 << 18
 ROUNDS = 2
+#: Parity bits of a set; a power of 2.
+BITS = 2048
 SCALE = 100
 
 
@@ -61,23 +64,35 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np
         yield at, np.searchsorted(row, np.arange(1, n + 1)), s
 
 
+def parity_bits(tokens: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each set BITS bits, each the parity of the number of tokens that fall on it."""
+    n = len(ends)
+    row = np.repeat(np.arange(n), np.diff(np.r_[0, ends]))
+    hit = np.bincount(row * BITS + (tokens >> np.uint64(23)).astype(np.int64) % BITS, minlength=n * BITS)
+    return np.packbits((hit & 1).astype(bool).reshape(n, BITS), axis=1)
+
+
+def most_common(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Upper bound on the tokens that two sets share: each differing bit is a token of one of them alone."""
+    return (n + m - np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)) // 2
+
+
 def _classes(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, a, b): size and two independent sums over the set's tokens."""
+    """(d, n, a, b, bits): size, two independent sums over the set's tokens, and parity bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[], [], []]
-            for _, ends, s in shingle_sets(batch.column(1), k):
+            for at, ends, s in shingle_sets(batch.column(1), k):
                 begin = np.r_[0, ends[:-1]]
-                cols[0].append(ends - begin)
-                for j, v in enumerate((s, mix(s ^ np.uint64(0xD6E8FEB86659FD93)))):
+                sums = []
+                for v in (s, mix(s ^ np.uint64(0xD6E8FEB86659FD93))):
                     total = np.zeros(len(v) + 1, np.uint64)
                     np.cumsum(v, dtype=np.uint64, out=total[1:])
-                    cols[1 + j].append((total[ends] - total[begin]).view(np.int64))
-            n, a, b = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(a), pa.array(b)], names=["d", "n", "a", "b"])
+                    sums.append(pa.array((total[ends] - total[begin]).view(np.int64)))
+                bits = pa.array([x.tobytes() for x in parity_bits(s, ends)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ends)), pa.array(ends - begin), *sums, bits], names=["d", "n", "a", "b", "bits"])
 
-    return docs.mapInArrow(run, "d long, n long, a long, b long")
+    return docs.mapInArrow(run, "d long, n long, a long, b long, bits binary")
 
 
 def _frequent(docs: DataFrame, k: int) -> DataFrame:
@@ -147,8 +162,26 @@ def common_tokens(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (x, y) whose sets link."""
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), BITS // 8)
+
+
+def _likely(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Those (x, y) that sizes and parity bits don't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n, m = pdf["n"].to_numpy(), pdf["m"].to_numpy()
+            both = np.minimum(most_common(n, m, _stacked(pdf["p"]), _stacked(pdf["q"])), np.minimum(n, m))
+            yield pdf.loc[SCALE * both >= percent * (n + m - both), ["x", "y"]]
+
+    left = sketch.select(F.col("d").alias("x"), "n", F.col("bits").alias("p"))
+    right = sketch.select(F.col("d").alias("y"), F.col("n").alias("m"), F.col("bits").alias("q"))
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "n", "m", "p", "q").mapInPandas(run, "x long, y long")
+
+
+def _links(pairs: DataFrame, docs: DataFrame, sketch: DataFrame, k: int, percent: int, folder: str, name: str) -> DataFrame:
+    """Those (x, y) whose sets link; whole sets are made only for pairs that the bits leave."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -159,9 +192,17 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(SCALE * both >= percent * (len(u) + len(v) - both))
             yield pdf.loc[np.array(ok, bool), ["x", "y"]]
 
+    pairs = written(_likely(pairs, sketch, percent), folder, f"likely-{name}")
+    sets = _sets_of(docs, pairs.select(F.explode(F.array("x", "y")).alias("d")).distinct(), k)
+    sets = written(sets, folder, f"sets-{name}")
     left = sets.select(F.col("d").alias("x"), F.col("s").alias("sa"))
     right = sets.select(F.col("d").alias("y"), F.col("s").alias("sb"))
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "sa", "sb").mapInPandas(run, "x long, y long")
+    return written(pairs.join(left, "x").join(right, "y").select("x", "y", "sa", "sb").mapInPandas(run, "x long, y long"), folder, f"links-{name}")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(d, n, s) of the given ids; a repeated id gives its first set by bytes."""
+    return _token_arrays(docs.join(ids, "d", "left_semi"), k).groupBy("d").agg(F.min_by(F.struct("n", "s"), F.struct("n", "s")).alias("v")).select("d", "v.*")
 
 
 def components(nodes: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -189,10 +230,25 @@ def components(nodes: DataFrame, links: DataFrame, folder: str, name: str) -> Da
     return nodes.join(edges.groupBy("u").agg(F.min("v").alias("v")), nodes["d"] == F.col("u"), "left").select("d", F.coalesce("v", "d").alias("c"))
 
 
+def _likely_groups(rows: DataFrame, members: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Those (x, g) with a member that sizes and parity bits don't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ok = []
+            for n, p, sizes, bits in zip(pdf["n"], pdf["bits"], pdf["sizes"], pdf["members"], strict=True):
+                m = np.asarray(sizes)
+                both = np.minimum(most_common(n, m, np.frombuffer(p, np.uint8), np.frombuffer(b"".join(bits), np.uint8).reshape(len(m), -1)), np.minimum(n, m))
+                ok.append(bool((SCALE * both >= percent * (n + m - both)).any()))
+            yield pdf.loc[np.array(ok, bool), ["x", "g"]]
+
+    packed = members.select("d", "g").join(sketch, "d").groupBy("g").agg(F.collect_list("n").alias("sizes"), F.collect_list("bits").alias("members"))  # about GROUP each
+    left = sketch.select(F.col("d").alias("x"), "n", "bits")
+    return rows.join(left, "x").join(packed, "g").select("x", "g", "n", "bits", "sizes", "members").mapInPandas(run, "x long, g long")
+
+
 def _group_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The exact pass over (set, group) candidates: bound by the union, then open."""
-    candidates = rows.select("x", "g").distinct()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = []
@@ -211,7 +267,7 @@ def _group_links(rows: DataFrame, groups: DataFrame, sets: DataFrame, percent: i
             yield pd.DataFrame(found, columns=["x", "y"], dtype="int64")
 
     left = sets.select(F.col("d").alias("x"), "n", "s")
-    return candidates.join(groups, "g").join(left, "x").select("x", "n", "s", "ids", "sizes", "members", "union").mapInPandas(run, "x long, y long")
+    return rows.join(groups, "g").join(left, "x").select("x", "n", "s", "ids", "sizes", "members", "union").mapInPandas(run, "x long, y long")
 
 
 def _matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -237,18 +293,18 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     key = ["n", "a", "b", F.when(F.col("n") == 0, F.col("d")).alias("e")]
     least = classes.groupBy(*key).agg(F.min("d").alias("r"))
     rep = written(least.where("n > 0"), folder, "representatives")
-    own = docs.join(rep.select(F.col("r").alias("d")).distinct(), "d", "left_semi")
-
     top = _frequent(docs, k).toPandas()  # at most MOST_FREQUENT rows
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     level = np.minimum(255, 1 + 4 * np.log2(np.maximum(1, top["df"].to_numpy(float)))).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((token[order], level[order]))
-    tokens = written(_first_tokens(own, k, percent, frequent), folder, "tokens")
+    tokens = _first_tokens(docs, k, percent, frequent).join(rep.select(F.col("r").alias("d")), "d", "left_semi")
+    tokens = written(tokens, folder, "tokens")
     shared = tokens.groupBy("token").agg(F.count_distinct("d").alias("m")).where("m > 1").select("token")
     tokens = written(tokens.join(shared, "token"), folder, "shared")
     near = tokens.select("d").distinct()
-    sets = written(_token_arrays(own.join(near, "d", "left_semi"), k).dropDuplicates(["d"]), folder, "sets")
+    sketch = classes.join(near, "d", "left_semi").groupBy("d").agg(F.min_by(F.struct("n", "bits"), F.struct("n", "a", "b")).alias("v")).select("d", "v.*")
+    sketch = written(sketch, folder, "sketch")
 
     parts = near.withColumn("c", F.col("d"))
     links = None
@@ -261,14 +317,14 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
         pivot = pivot.select("token", F.col("p.d").alias("y"), F.col("p.n").alias("m"), F.col("p.c").alias("other"))
         pairs = labelled.join(pivot, "token").where("c != other").where(f"{SCALE} * least(n, m) >= {percent} * greatest(n, m)")
         pairs = pairs.select(F.least("d", "y").alias("x"), F.greatest("d", "y").alias("y")).distinct()
-        found = written(_links(pairs, sets, percent), folder, f"links-{turn}")
+        found = _links(pairs, docs, sketch, k, percent, folder, str(turn))
         links = found if links is None else links.unionByName(found)
         parts = written(components(near, links, folder, f"stars-{turn}"), folder, f"parts-{turn}")
 
     # Groups: a component's sets hashed into twice as many groups as would do, so that none is
     # far beyond GROUP and a component of any number of sets is never sorted in one task.
     many = parts.groupBy("c").agg(F.count("*").alias("k"))
-    sized = parts.join(sets.select("d", "n"), "d").join(many, "c")
+    sized = parts.join(sketch.select("d", "n"), "d").join(many, "c")
     of = F.pmod(F.xxhash64("d"), F.ceil(F.col("k") * 2 / GROUP))
     members = written(sized.select("d", "c", "n", F.struct("k", "c").alias("rank"), F.xxhash64("c", of).alias("g")), folder, "members")
     # The sets of the smaller component ask the groups of the larger one. Where a token's sets
@@ -280,8 +336,10 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     asks = of_group.join(open_, "token").where("rank < most").select("token", F.col("d").alias("x"), F.col("rank").alias("mine"), "n")
     rows = asks.join(index, "token").where("mine < rank").where(f"{SCALE} * least(n, high) >= {percent} * greatest(n, low)")
     rows = rows.select("x", "g").distinct()
-    matrix = _matrix(members.select("d", "g"), sets)
-    links = links.unionByName(written(_group_links(rows, matrix, sets, percent), folder, "links-exact"))
+    rows = written(_likely_groups(rows, members, sketch, percent), folder, "likely-exact")
+    opened = members.select("d", "g").join(rows.select("g").distinct(), "g", "left_semi")
+    sets = written(_sets_of(docs, opened.select("d").unionByName(rows.select(F.col("x").alias("d"))).distinct(), k), folder, "sets-exact")
+    links = links.unionByName(written(_group_links(rows, _matrix(opened, sets), sets, percent), folder, "links-exact"))
     parts = components(near, links, folder, "stars-exact")
 
     named = rep.join(parts, rep["r"] == parts["d"], "left").select("n", "a", "b", F.coalesce("c", "r").alias("c"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.near import op6_near
+from aeolia.llm.personal import op4_personal
 from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
 from aeolia.llm.secrets import op8_secrets
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
+    "op4_personal": op4_personal,
     "op6_near": op6_near,
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,

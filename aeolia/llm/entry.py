@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
+from aeolia.llm.licences import OP10_SQL, op10_licences
 from aeolia.llm.near import op6_near
 from aeolia.llm.personal import op4_personal
 from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
+from aeolia.llm.units import OP7_SQL, op7_units
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -16,7 +18,12 @@ QUERIES = {
     "op3_decontam": op3_decontam,
     "op4_personal": op4_personal,
     "op6_near": op6_near,
+    "op7_units": op7_units,
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
+    "op10_licences": op10_licences,
+}
+ORACLES: dict[str, str] = {
+    "op7_units": OP7_SQL,
+    "op10_licences": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.licences import OP10_SQL, op10_licences
+from aeolia.llm.maxent import op5_maxent
 from aeolia.llm.near import op6_near
 from aeolia.llm.personal import op4_personal
 from aeolia.llm.pieces import op9_pieces
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_decontam": op3_decontam,
     "op4_personal": op4_personal,
+    "op5_maxent": op5_maxent,
     "op6_near": op6_near,
     "op7_units": op7_units,
     "op8_secrets": op8_secrets,

@@ -2,7 +2,8 @@
 
 1. Texts with equal shingle sets are one class; its smallest id stands for it from here on.
 2. Any two sets that link share one of their first tokens in any order that all sets use, if
-   each gives its first n - ceil(t * n) + 1. The order puts tokens by how common they are
+   each gives its first n - ceil(t * n) + 1, and j of them if each gives j - 1 more. A set of
+   whose first tokens fewer than j are in any other set links with nothing. The order puts tokens by how common they are
    (a bounded table of frequent ones) and then by hash. Only sets that share such a token
    with another set go on. Parity bits of each set bound what two sets can share; whole token
    arrays are made only for sets that this bound leaves.
@@ -33,7 +34,7 @@ from aeolia.llm.tables import shared_folder, table, written
 from aeolia.llm.words import mix, slices, windows
 
 GROUP = 64
-#: Tokens that at least this many sets of one batch have may enter the table of frequent ones.
+#: Tokens that at least this many sets of some megabytes of text have may enter the table of frequent ones.
 OFTEN, MOST_FREQUENT = 4, 1 << 18
 ROUNDS = 2
 #: Parity bits of a set; a power of 2.
@@ -100,23 +101,34 @@ def _frequent(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = [x for _, _, x in shingle_sets(batch.column(1), k)]
-            if s:
-                u, n = np.unique(np.concatenate(s), return_counts=True)
-                often = n >= OFTEN
-                yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often])], names=["token", "df"])
+            held: list[np.ndarray] = []
+            for at, ends, s in shingle_sets(batch.column(1), k):
+                held.append(s)
+                if len(held) == 8 or at + len(ends) == batch.num_rows:
+                    u, n = np.unique(np.concatenate(held), return_counts=True)
+                    often = n >= OFTEN
+                    yield pa.RecordBatch.from_arrays([pa.array(u[often].view(np.int64)), pa.array(n[often])], names=["token", "df"])
+                    held = []
 
     total = docs.mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     return total.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT)
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
-    """n - ceil(n * percent / 100) + 1, and none of an empty set."""
+    """n - ceil(n * percent / 100) + 1, and none of an empty set: two sets that link share one of these."""
     return np.where(n > 0, n - -(-n * percent // SCALE) + 1, 0)
 
 
+def _more(n: np.ndarray) -> np.ndarray:
+    """How many tokens beyond prefix_size each set gives."""
+    return np.maximum(1, n // 10) - 1
+
+
 def _first_tokens(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """(token, d, n, at): each set's first tokens, and how many come before."""
+    """(token, d, n, at, basic): each set's first tokens and how many come before.
+
+    ``basic`` marks those of prefix_size; ``_more`` follow them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = frequent.value
@@ -135,11 +147,24 @@ def _first_tokens(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     rank[few] = np.where(common[p] == s[few], level[p], 0)
                 order = np.lexsort((rank, row))  # stable: equal ranks stay by hash
                 place = np.arange(len(s)) - np.repeat(begin, n)
-                taken = place < np.repeat(prefix_size(n, percent), n)
-                s, row, place = s[order][taken], row[taken], place[taken]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(d[at + row]), pa.array(n[row]), pa.array(place)], names=["token", "d", "n", "at"])
+                basic = place < np.repeat(prefix_size(n, percent), n)
+                taken = place < np.repeat(prefix_size(n, percent) + _more(n), n)
+                s, row, place, basic = s[order][taken], row[taken], place[taken], basic[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(d[at + row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(basic)], names=["token", "d", "n", "at", "basic"])
 
-    return docs.mapInArrow(run, "token long, d long, n long, at long")
+    return docs.mapInArrow(run, "token long, d long, n int, at int, basic boolean")
+
+
+def _plausible(tokens: DataFrame, percent: int) -> DataFrame:
+    """Rows of sets that share enough of their first tokens with any other sets.
+
+    Two sets share as many as the smaller of them gives beyond prefix_size, and one more; the
+    smaller has at least percent / 100 of the tokens of the larger.
+    """
+    needed = f"greatest(1, (n * {percent} div {SCALE}) div 10)"
+    shared = tokens.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
+    enough = tokens.join(shared, "token", "left_semi").groupBy("d").agg(F.count_distinct("token").alias("k"), F.max("n").alias("n")).where(f"k >= {needed}")
+    return tokens.join(enough.select("d"), "d", "left_semi")
 
 
 def _token_arrays(docs: DataFrame, k: int) -> DataFrame:
@@ -300,8 +325,12 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     frequent = spark.sparkContext.broadcast((token[order], level[order]))
     tokens = _first_tokens(docs, k, percent, frequent).join(rep.select(F.col("r").alias("d")), "d", "left_semi")
     tokens = written(tokens, folder, "tokens")
-    shared = tokens.groupBy("token").agg(F.count_distinct("d").alias("m")).where("m > 1").select("token")
-    tokens = written(tokens.join(shared, "token"), folder, "shared")
+    # What chance alone shares goes in two steps: without the sets that the first rules out,
+    # fewer tokens of the others are shared.
+    tokens = written(_plausible(tokens, percent), folder, "plausible-1")
+    tokens = written(_plausible(tokens, percent).where("basic").drop("basic"), folder, "plausible-2")
+    shared = tokens.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
+    tokens = written(tokens.join(shared, "token", "left_semi"), folder, "shared")
     near = tokens.select("d").distinct()
     sketch = classes.join(near, "d", "left_semi").groupBy("d").agg(F.min_by(F.struct("n", "bits"), F.struct("n", "a", "b")).alias("v")).select("d", "v.*")
     sketch = written(sketch, folder, "sketch")

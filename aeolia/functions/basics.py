@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aeolia.fixed_values import COORDINATE_ALIASES
+
 __all__ = [
     "cell_key", "clamp", "epoch_seconds", "holds", "nan_to_null", "season", "time_from_epoch",
 ]
@@ -35,8 +37,15 @@ def clamp(value: Column, low: float, high: float) -> Column:
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
-    """Turn NaN into NULL in every floating column; Spark sorts NaN above all numbers."""
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    """Turn NaN into NULL in every floating column; Spark sorts NaN above all numbers.
+
+    Coordinates stay as they are, so that bounds on them reach the scan; NaN lies in no box.
+    """
+    axes = {*COORDINATE_ALIASES["latitude"], *COORDINATE_ALIASES["longitude"]}
+    floats = [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in axes
+    ]
     return df.withColumns(
         {
             name: F.when(~F.isnan(F.col(f"`{name}`")), F.col(f"`{name}`")).cast("double")

@@ -39,7 +39,7 @@ REFERENCE_TURBINE = Turbine("reference_3MW", 3000.0, 100.0, 3.0, 12.0, 25.0)
 def capacity_factor(
     wind: Column, turbine: Turbine = REFERENCE_TURBINE, shape: str = "cubic"
 ) -> Column:
-    """Share of rated power at a hub-height wind; NULL wind gives NULL."""
+    """Share of rated power at a hub-height wind; a missing or NaN wind gives NULL."""
     low, top = turbine.cut_in, turbine.rated
     if shape == "cubic":
         ramp = (wind * wind * wind - low**3) / (top**3 - low**3)
@@ -51,7 +51,7 @@ def capacity_factor(
     return (
         F.when(running & (wind < top), clamp(ramp, 0.0, 1.0))
         .when(running, 1.0)
-        .when(wind.isNotNull(), 0.0)
+        .when(wind.isNotNull() & ~F.isnan(wind), 0.0)
     )
 
 

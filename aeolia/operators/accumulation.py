@@ -99,26 +99,33 @@ def to_rate(df: DataFrame, column: str, kind: str, *, per_second: bool = True, *
     return to_rates(df, {column: kind}, per_second=(column,) if per_second else (), **options)
 
 
+def _leading(df: DataFrame, keys: list[str], time: str, sample_steps: int) -> DataFrame:
+    """Rows of the first time steps of each product."""
+    steps = df.select(*keys, time).distinct()
+    ranked = steps.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
+    # Spark prunes ranks within each task before the shuffle, so few steps travel.
+    last = ranked.filter(F.col("_rank") <= sample_steps).groupBy(*keys).agg(F.max(time).alias("_last"))
+    return (
+        df.join(last, keys) if keys else df.withColumn("_last", last.scalar())
+    ).filter(F.col(time) <= F.col("_last"))
+
+
 def accumulation_kinds(
-    df: DataFrame, column: str, *, sample_steps: int = 24, by=("product",), time: str = TIME
+    df: DataFrame, column: str, *, sample_steps: int | None = None, by=("product",), time: str = TIME
 ) -> DataFrame:
-    """Per product, how the flux seems to be accumulated, judged from its leading time steps.
+    """Per product, how the flux seems to be accumulated, judged from all its time steps.
+
+    ``sample_steps`` judges by that many leading steps only.
 
     Columns: sample_mean, n_steps, decreasing_share and kind; kind is NULL where the sample
     does not tell (constant, too short, or a share between the bounds).
     """
     keys = [name for name in by if name in df.columns]
-    steps = df.select(*keys, time).distinct()
-    ranked = steps.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(time)))
-    # Spark prunes ranks within each task before the shuffle, so few steps travel.
-    last = ranked.filter(F.col("_rank") <= sample_steps).groupBy(*keys).agg(F.max(time).alias("_last"))
-    leading = (
-        df.join(last, keys) if keys else df.withColumn("_last", last.scalar())
-    ).filter(F.col(time) <= F.col("_last"))
+    leading = df if sample_steps is None else _leading(df, keys, time, sample_steps)
     series = leading.groupBy(*keys, time).agg(
         F.avg(column).alias("_mean"), F.sum(column).alias("_sum"), F.count(column).alias("_n")
     )
-    # At most sample_steps rows per product from here on.
+    # One row per product and step from here on.
     change = F.col("_mean") - F.lag("_mean").over(Window.partitionBy(*keys).orderBy(time))
     judged = series.withColumn("_change", change).groupBy(*keys).agg(
         F.try_divide(F.sum("_sum"), F.sum("_n")).alias("sample_mean"),

@@ -127,12 +127,18 @@ def subset_temporal(
 def normalise_longitude(
     df: DataFrame, to_180: bool = True, *, longitude: str = "longitude"
 ) -> DataFrame:
-    """Longitudes in -180..180 or 0..360; values already in the range stay as they are."""
+    """Longitudes in -180..180 or 0..360.
+
+    A record that lies in the range already stays as it is; otherwise the whole axis is
+    converted, so that 180 in a 0..360 record becomes -180.
+    """
     lon = F.col(longitude)
     if to_180:
-        value = F.when(lon > 180, F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).otherwise(lon)
+        beyond = df.agg(F.max(lon)).scalar() > 180
+        value = F.when(beyond, F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).otherwise(lon)
     else:
-        value = F.when(lon < 0, F.pmod(lon, F.lit(360.0))).otherwise(lon)
+        below = df.agg(F.min(lon)).scalar() < 0
+        value = F.when(below, F.pmod(lon, F.lit(360.0))).otherwise(lon)
     return df.withColumn(longitude, value)
 
 

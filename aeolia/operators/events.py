@@ -139,11 +139,18 @@ def sensitivity_sweep(
             for hours, n in lengths.items()
         ])
     )
-    return (
+    found = (
         totals.select(*groups, "wind_threshold", per_duration.alias("d"))
         .groupBy(*groups, "wind_threshold", "d.min_duration_hours")
         .agg(F.sum("d.events").alias("events"), F.sum("d.hours").alias("hours"))
     )
+    # Every combination has a row; one that no step lies under has no events.
+    every = df.select(*groups).distinct() if groups else df.sparkSession.range(1).drop("id")
+    for name, values in (("wind_threshold", wind_thresholds), ("min_duration_hours", durations)):
+        every = every.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+    return every.join(found, [*groups, "wind_threshold", "min_duration_hours"], "left").fillna(
+        0, ["events", "hours"]
+    )
 
 
 def domain_mean(df: DataFrame, *columns: str, time: str = TIME) -> DataFrame:

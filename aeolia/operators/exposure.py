@@ -84,7 +84,9 @@ def aggregate_population_to_grid(
         source_total = people.agg(F.sum("_people")).scalar()
         sampled_total = sampled.agg(F.sum("population")).scalar()
         scale = F.when(sampled_total > 0, source_total / sampled_total).otherwise(1.0)
-        return sampled.withColumn("population", F.col("population") * scale)
+        return sampled.withColumn("population", F.col("population") * scale).withMetadata(
+            "population", {"warning": NEAREST_WARNING}
+        )
     raise ValueError(f"unknown method {method!r}; use 'sum' or 'nearest_normalised'")
 
 

@@ -130,7 +130,8 @@ def estimate_gusts(
     sigma = F.stddev_pop(wind).alias("_sigma")
     if time not in df.columns:
         return _with_gust(df.withColumn("_sigma", df.agg(sigma).scalar()), wind, k, output)
-    block = block_of(epoch_seconds(F.col(time)), block_seconds(block_hours))
+    # Rows without a time share one block, so that none is lost in the join.
+    block = F.coalesce(block_of(epoch_seconds(F.col(time)), block_seconds(block_hours)), F.lit(-1))
     rows = df.withColumn("_blk", block)
     spread = (
         rows.groupBy(*keys).agg(sigma, F.collect_set("_blk").alias("_blks"))
@@ -153,7 +154,17 @@ def resolve_gusts(
     """Add ``gust`` and ``gust_source``: the native field where there is one, else an estimate."""
     native = native_gust_variable(df, candidates)
     if native is not None:
-        return df.withColumns({output: F.col(native), "gust_source": F.lit("native")})
+        # A product that has no native gust anywhere is estimated, whatever others have.
+        product = [name for name in ("product",) if name in df.columns]
+        own = F.bool_or(F.col(native).isNotNull()).alias("_native")
+        if wind not in df.columns:
+            return df.withColumns({output: F.col(native), "gust_source": F.lit("native")})
+        known = df.groupBy(*product).agg(own)
+        told = df.join(known, product) if product else df.withColumn("_native", known.scalar())
+        kept = told.filter("_native").withColumns({output: F.col(native), "gust_source": F.lit("native")})
+        rest = told.filter("NOT _native").drop(output) if output != native else told.filter("NOT _native")
+        estimated = estimate_gusts(rest, wind, k, output=output, cell=cell, time=time, block_hours=block_hours)
+        return kept.unionByName(estimated, allowMissingColumns=True).drop("_native")
     if wind not in df.columns:
         raise ValueError(
             f"neither a native gust {list(candidates)} nor {wind!r} is there: {sorted(df.columns)}"

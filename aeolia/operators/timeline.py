@@ -167,15 +167,23 @@ def timestep_report(df: DataFrame, *, by=("product",), time: str = TIME) -> Data
 
 
 def infer_timestep_hours(df: DataFrame, *, time: str = TIME) -> float:
-    """The one spacing of a regular time axis, in hours.  Runs a Spark job."""
+    """The one spacing of a regular time axis, in hours.  Runs a Spark job.
+
+    Each product has an axis of its own; products of different spacing have no one answer.
+    """
     if time not in df.columns:
         raise ValueError(f"no {time!r} column to infer the time step from")
-    row = timestep_report(df, by=(), time=time).first()
-    if row["n_steps"] < 2:
+    rows = timestep_report(df, time=time).collect()  # a row for each product
+    if not rows or max(r["n_steps"] for r in rows) < 2:
         raise ValueError("at least two time steps are needed to infer the spacing")
+    row = rows[0]
+    if len({r["median_seconds"] for r in rows}) > 1:
+        found = {r["product"]: r["median_seconds"] / 3600 for r in rows}
+        raise ValueError(f"products differ in time step, in hours: {found}; pass the step, or one product at a time")
+    row = next((r for r in rows if not math.isclose(r["min_hours"], r["max_hours"], rel_tol=1e-5)), row)
     if not math.isclose(row["min_hours"], row["max_hours"], rel_tol=1e-5):
         found = (
-            time_steps(df, by=(), time=time).select("spacing_seconds").distinct()
+            time_steps(df, time=time).select("spacing_seconds").distinct()
             .orderBy("spacing_seconds").limit(10).dropna().collect()
         )
         raise ValueError(

@@ -54,6 +54,8 @@ def match_stations_to_grid(
 ) -> DataFrame:
     """Add the nearest grid point to each station, each axis on its own.
 
+    A station without a position stays, with no grid point.
+
     ``grid`` needs one row per grid cell; pass the static cell table rather than the facts.
     With a model orography column, its height there and the height difference are added.
     """
@@ -64,9 +66,9 @@ def match_stations_to_grid(
         {lat_column: F.col(lat_column).cast("double"), lon_column: F.col(lon_column).cast("double")}
     )
     matched = placed.join(
-        _nearest_on_axis(placed, lat_column, grid, latitude, lat_descending, "lat"), lat_column
+        _nearest_on_axis(placed, lat_column, grid, latitude, lat_descending, "lat"), lat_column, "left"
     ).join(
-        _nearest_on_axis(placed, lon_column, grid, longitude, lon_descending, "lon"), lon_column
+        _nearest_on_axis(placed, lon_column, grid, longitude, lon_descending, "lon"), lon_column, "left"
     )
     lat, lon = F.col(lat_column), F.col(lon_column)
     dy = (F.col("grid_lat") - lat) * KM_PER_DEGREE
@@ -162,10 +164,10 @@ def station_metrics(
         .filter(F.col("n_pairs") >= minimum_pairs)
         .select(*by, station_id, *METRIC_NAMES)
     )
-    if metadata is None:
-        return metrics
-    keyed = metadata.withColumn("_site", F.col(metadata_id))
-    return metrics.join(keyed, metrics[station_id] == keyed["_site"], "left").drop("_site")
+    if metadata is not None:
+        keyed = metadata.withColumn("_site", F.col(metadata_id))
+        metrics = metrics.join(keyed, metrics[station_id] == keyed["_site"], "left").drop("_site")
+    return metrics.orderBy(*by, station_id)
 
 
 def station_exclusions(

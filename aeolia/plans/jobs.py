@@ -75,19 +75,26 @@ def winter_projection(
 ) -> DataFrame:
     """Heating degree days and hours of strong wind at 100 m per cell.
 
-    The native 100 m wind is used where the table has one, else the 10 m wind is carried up;
-    ``hub_wind_source`` says which.  Hours are counted per day, so both share one shuffle.
+    The native 100 m wind is used where a row has one, else the 10 m wind is carried up;
+    ``hub_wind_source`` says whether a cell has any native value.  Hours are counted per day,
+    so both share one shuffle.
     """
-    native = "wind_speed_100m" in df.columns
-    hub = F.col("wind_speed_100m") if native else extrapolate_to_hub_height(F.col("wind_speed_10m"))
+    native = F.col("wind_speed_100m") if "wind_speed_100m" in df.columns else F.lit(None).cast("double")
+    hub = native
+    if "wind_speed_10m" in df.columns:
+        hub = F.coalesce(native, extrapolate_to_hub_height(F.col("wind_speed_10m")))
     days = daily(
-        df, {"t_mean": F.avg(temperature), "strong": F.count_if(hub >= storm_threshold)},
+        df,
+        {
+            "t_mean": F.avg(temperature), "strong": F.count_if(hub >= storm_threshold),
+            "has_native": F.bool_or(native.isNotNull()),
+        },
         cell=cell, time=time,
     )
     return days.groupBy(*cell_columns(days, cell)).agg(
         heating(hdd_base, F.col("t_mean")).alias("hdd"),
         (F.sum("strong") * timestep_hours).alias("storm_hours"),
-        F.first(F.lit("native" if native else "extrapolated")).alias("hub_wind_source"),
+        F.when(F.bool_or("has_native"), "native").otherwise("extrapolated").alias("hub_wind_source"),
     )
 
 
@@ -118,14 +125,18 @@ def standardise_all(
     spark: SparkSession, sources: list[ProductSource], output: str, *,
     domain: BoundingBox | None = None, start=None, end=None,
 ) -> DataFrame:
-    """Standardise and write every product, one job each; returns their provenance rows."""
+    """Standardise and write every product, one job each; returns their provenance rows.
+
+    All products go into one table, parted by product and year, of which a job replaces its
+    own parts only: a second batch renews its products and leaves the others.
+    """
     notes = []
     for source in sources:
         table = open_product(
             spark, list(source.paths), source.product, format=source.format, domain=domain,
             start=start, end=end, **source.choices,
         )
-        write_product(table.drop("ingest_seq"), f"{output}/{source.product}")
+        write_product(table.drop("ingest_seq"), output, mode="overwrite")
         facts = {**product_facts(source.product), "period": f"{start} to {end}"}
         notes.append(provenance_rows(spark, source.product, facts))
     return combine(*notes)

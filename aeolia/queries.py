@@ -131,8 +131,8 @@ def _(w):
 
 @query("p15_fixed_tilt_capacity_factor", "w", None, "mean_value max_value")
 def _(w):
-    x = solar.fixed_tilt_capacity_factor(F.col("time"), F.col("latitude"), F.col("longitude"), F.col("solar_radiation"), F.col("temperature_2m"), F.col("wind_speed_10m"))
-    return _per_cell(w.withColumn("x", x), F.avg("x").alias("mean_value"), F.max("x").alias("max_value"), F.count("x").alias("n"))
+    x = solar.fixed_tilt_capacity_factor(w, "solar_radiation", "temperature_2m", "wind_speed_10m", output="x")
+    return _per_cell(x, F.avg("x").alias("mean_value"), F.max("x").alias("max_value"), F.count("x").alias("n"))
 
 
 @query("p16_snow_rain_partition", "w", f"""
@@ -269,19 +269,29 @@ def _(w):
     return runs.event_statistics(w, F.col("wind_speed_10m") >= 15, **HOUR)
 
 
+@query("w2_accumulation_kinds", "wx_block", """
+, p AS (SELECT product, time, avg(ssrd) AS m, sum(ssrd) AS s, count(ssrd) AS n FROM wx_block GROUP BY product, time),
+c AS (SELECT *, m - lag(m) OVER (PARTITION BY product ORDER BY time) AS d FROM p)
+SELECT product, sum(s) / sum(n) AS sample_mean, count(*) AS n_steps, count(*) FILTER (d < 0) / CAST(count(*) FILTER (d <> 0) AS DOUBLE) AS decreasing_share,
+CASE WHEN sum(s) / sum(n) < 1500 THEN 'instantaneous' WHEN count(*) < 3 THEN NULL WHEN count(*) FILTER (d < 0) / CAST(count(*) FILTER (d <> 0) AS DOUBLE) <= 0.15 THEN 'running'
+WHEN count(*) FILTER (d < 0) / CAST(count(*) FILTER (d <> 0) AS DOUBLE) >= 0.35 THEN 'period' END AS kind FROM c GROUP BY product""", "sample_mean decreasing_share")
+def _(wx_block):
+    return accumulation.accumulation_kinds(wx_block, "ssrd")
+
+
 # --- days -----------------------------------------------------------------------------------------------
 _DAYS = f"(SELECT {CELLS}, CAST(time AS DATE) AS day, avg(temperature_2m) AS t_mean, max(temperature_2m) AS t_max, min(temperature_2m) AS t_min, max(wind_speed_10m) AS u_max, avg(wind_speed_10m) AS u_mean, sum(precipitation) AS rain FROM w GROUP BY ALL)"
 _HDD, _CDD = "sum(greatest(15.0e0 - t_mean, 0))", "sum(greatest(t_mean - 18.0e0, 0))"
 
 
-@query("a1_daily", "w", f"SELECT {CELLS}, day, t_mean, t_max, u_max FROM {_DAYS}", "t_mean t_max u_max")
+@query("a1_daily", "w", f"SELECT {CELLS}, CAST(day AS VARCHAR) AS day, t_mean, t_max, u_max FROM {_DAYS}", "t_mean t_max u_max")
 def _(w):
-    return daily.daily(w, {"t_mean": F.avg("temperature_2m"), "t_max": F.max("temperature_2m"), "u_max": F.max("wind_speed_10m")})
+    return daily.daily(w, {"t_mean": F.avg("temperature_2m"), "t_max": F.max("temperature_2m"), "u_max": F.max("wind_speed_10m")}).withColumn("day", F.col("day").cast("string"))
 
 
-@query("a2_daily_mean_temperature", "w", f"SELECT {CELLS}, day, t_mean AS temperature_2m FROM {_DAYS}", "temperature_2m")
+@query("a2_daily_mean_temperature", "w", f"SELECT {CELLS}, CAST(day AS VARCHAR) AS day, t_mean AS temperature_2m FROM {_DAYS}", "temperature_2m")
 def _(w):
-    return daily.daily_mean_temperature(w, assume="degC")
+    return daily.daily_mean_temperature(w, assume="degC").withColumn("day", F.col("day").cast("string"))
 
 
 @query("a3_heating_degree_days", "w", f"SELECT {CELLS}, {_HDD} AS hdd FROM {_DAYS} GROUP BY {CELLS}", "hdd")
@@ -289,9 +299,9 @@ def _(w):
     return daily.heating_degree_days(w, assume="degC")
 
 
-@query("a3_heating_degree_days_monthly", "daily", f"SELECT {CELLS}, last_day(CAST(time AS DATE)) AS period, sum(greatest(15.0e0 - temperature_2m, 0)) AS hdd FROM daily GROUP BY ALL", "hdd")
+@query("a3_heating_degree_days_monthly", "daily", f"SELECT {CELLS}, CAST(last_day(CAST(time AS DATE)) AS VARCHAR) AS period, sum(greatest(15.0e0 - temperature_2m, 0)) AS hdd FROM daily GROUP BY ALL", "hdd")
 def _(d):
-    return daily.heating_degree_days(d, freq="month", already_daily=True, assume="degC")
+    return daily.heating_degree_days(d, freq="month", already_daily=True, assume="degC").withColumn("period", F.col("period").cast("string"))
 
 
 @query("a4_cooling_degree_days", "w", f"SELECT {CELLS}, {_CDD} AS cdd FROM {_DAYS} GROUP BY {CELLS}", "cdd")
@@ -503,6 +513,54 @@ def _(population, targets):
     return exposure.aggregate_population_to_grid(population, targets)
 
 
+@query("j2_extract_at_stations", "stations w", """
+, a AS (SELECT DISTINCT latitude FROM w), b AS (SELECT DISTINCT longitude FROM w),
+x AS (SELECT station_id, arg_min(latitude, (abs(latitude - lat), latitude)) AS grid_lat FROM stations, a GROUP BY station_id),
+y AS (SELECT station_id, arg_min(longitude, (abs(longitude - lon), longitude)) AS grid_lon FROM stations, b GROUP BY station_id)
+SELECT station_id, count(*) AS n, avg(temperature_2m) AS mean_value FROM x JOIN y USING (station_id) JOIN w ON latitude = grid_lat AND longitude = grid_lon GROUP BY station_id""", "mean_value")
+def _(stations, w):
+    matched = verification.match_stations_to_grid(w.select("latitude", "longitude").distinct(), stations)
+    found = verification.extract_at_stations(w, "temperature_2m", matched, station_id="station_id")
+    return found.groupBy("station_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+
+
+@query("j3_station_metadata", "pairs stations", "SELECT station_id, lat AS latitude, alt AS elevation FROM stations WHERE station_id IN (SELECT station_id FROM pairs)", "latitude elevation")
+def _(pairs, stations):
+    merged = pairs.join(stations, "station_id")
+    return verification.station_metadata(merged, {"lat": "latitude", "alt": "elevation"})
+
+
+@query("j4_pair_with_observations", "pairs", """
+SELECT a.station_id, count(*) AS n, avg(a.modelled) AS mean_modelled, avg(b.observed) AS mean_observed FROM pairs AS a
+JOIN pairs AS b ON a.station_id = b.station_id AND a.l_orderkey * 10 + a.l_linenumber = b.l_orderkey * 10 + b.l_linenumber WHERE b.l_linenumber <> 3 GROUP BY a.station_id""", "mean_modelled mean_observed")
+def _(pairs):
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    modelled = pairs.select("station_id", key.alias("time"), F.col("modelled").alias("value"))
+    observed = pairs.where("l_linenumber <> 3").select("station_id", key.alias("time"), F.col("observed").alias("value"))
+    both = verification.pair_with_observations(modelled, observed)
+    return both.groupBy("station_id").agg(F.count("*").alias("n"), F.avg("modelled").alias("mean_modelled"), F.avg("observed").alias("mean_observed"))
+
+
+@query("j6_population_nearest", "population targets", None, "population")
+def _(population, targets):
+    return exposure.aggregate_population_to_grid(population, targets, "nearest_normalised")
+
+
+@query("a15_threshold_catalogue", "w", " UNION ALL ".join(f"SELECT '{n}' AS class, {t}e0 AS threshold, count(*) FILTER (wind_speed_10m >= {t}e0) AS n FROM w" for n, t in (("high_wind", 10.0), ("strong_wind", 12.5), ("severe_storm", 15.0), ("extreme_storm", 17.5))), "threshold")
+def _(w):
+    from aeolia.fixed_values import ALPINE_STORM_THRESHOLDS
+
+    classes = storms.threshold_table(w.sparkSession, ALPINE_STORM_THRESHOLDS)
+    counts = w.groupBy(F.floor("wind_speed_10m").alias("u"), "wind_speed_10m").agg(F.count("*").alias("k"))
+    return classes.join(counts, counts["wind_speed_10m"] >= classes["threshold"], "left").groupBy("class", "threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+
+
+@query("s6_registry_facts", "events", "SELECT 'era5' AS product, 1.0e0 AS timestep_hours, count(*) AS n FROM events", "timestep_hours")
+def _(ev):
+    facts = registry.registry_table(ev.sparkSession).select("product", "timestep_hours")
+    return ev.withColumn("product", F.lit("era5")).join(facts, "product").groupBy("product", "timestep_hours").agg(F.count("*").alias("n"))
+
+
 _V = """count(*) * 1.0e0 AS n_pairs, avg(m - o) AS bias, sqrt(avg((m - o) * (m - o))) AS rmse, avg(abs(m - o)) AS mae,
 CASE WHEN stddev_pop(o) > 0 AND stddev_pop(m) > 0 AND count(*) >= 2 THEN covar_pop(o, m) / (stddev_pop(o) * stddev_pop(m)) END AS correlation, avg(o) AS obs_mean, avg(m) AS model_mean,
 stddev_pop(o) AS obs_std, stddev_pop(m) AS model_std, CASE WHEN stddev_pop(o) > 0 AND count(*) >= 2 THEN stddev_pop(m) / stddev_pop(o) END AS std_ratio"""

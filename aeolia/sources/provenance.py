@@ -3,37 +3,15 @@
 from __future__ import annotations
 
 import json
-from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["as_attribute", "decode_attribute", "provenance_rows", "counts_as_json", "storable"]
+__all__ = ["counts_as_json", "provenance_rows", "provenance_values"]
 
 _SCHEMA = "output string, key string, value_json string"
 
 
-def as_attribute(value: Any) -> Any:
-    """Encode what a plain attribute cannot hold (missing, boolean, mapping) as JSON."""
-    needs_json = value is None or isinstance(value, (bool, dict))
-    return json.dumps(value, sort_keys=True, default=str) if needs_json else value
-
-
-def decode_attribute(value: Any) -> Any:
-    """Undo :func:`as_attribute`; text that is not JSON comes back as it is."""
-    if isinstance(value, str):
-        try:
-            return json.loads(value)
-        except ValueError:
-            pass
-    return value
-
-
-def storable(attributes: dict) -> dict:
-    """Encode every entry of an attribute mapping."""
-    return {key: as_attribute(value) for key, value in attributes.items()}
-
-
 def provenance_rows(spark: SparkSession, output: str, entries: dict) -> DataFrame:
     """One ``(output, key, value_json)`` row per entry of a small mapping."""
     rows = [
@@ -52,3 +30,9 @@ def counts_as_json(counts: DataFrame, key: str, count: str, output: str = "value
     kept = counts.filter(F.col(count) > 0)
     entries = F.sort_array(F.collect_list(F.struct(key, count)))
     return kept.agg(F.to_json(F.map_from_entries(entries)).alias(output))
+
+
+def provenance_values(rows: DataFrame, output: str) -> dict:
+    """The entries of one output as Python values; a mapping of a few facts, not of data."""
+    own = rows.filter(F.col("output") == output).select("key", "value_json").collect()
+    return {key: json.loads(text) for key, text in own}

@@ -119,7 +119,8 @@ def write_product(df: DataFrame, path: str, *, time: str = TIME, mode: str = "er
     """Write facts by product and year, each file ordered by cell and time.
 
     The rebalance hint lets adaptive execution split a product-year with a large share of
-    the rows over many files and join small ones.
+    the rows over many files and join small ones.  ``overwrite`` replaces only the products
+    and years that ``df`` has.
     """
     keys = [name for name in CELL if name in df.columns]
     dated = df.withColumn("year", F.year(time))
@@ -127,7 +128,7 @@ def write_product(df: DataFrame, path: str, *, time: str = TIME, mode: str = "er
     (
         dated.hint("rebalance", *folders)
         .sortWithinPartitions(*folders, *[k for k in keys if k not in folders], time)
-        .write.mode(mode).partitionBy(*folders).parquet(path)
+        .write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
     )
 
 

@@ -78,7 +78,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def portable(*names: str) -> str:
-    """WITH clause of the named views and all they read, for engines with TIMESTAMP and //."""
+    """The named views and all they read, to stand after WITH, for engines with TIMESTAMP and //."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -95,4 +95,4 @@ def portable(*names: str) -> str:
         for other in VIEWS[name][0]:
             text = text.replace("{" + other + "}", other)
         parts.append(f"{name} AS ({text})")
-    return "WITH " + ",\n".join(parts)
+    return ",\n".join(parts)

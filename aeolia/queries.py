@@ -36,8 +36,8 @@ def query(name: str, views: str, sql: str | None, rounded: str = ""):
         if sql is not None:
             replaced = f"* REPLACE ({', '.join(f'round({c}, 6) + 0.0e0 AS {c}' for c in columns)})" if columns else "*"
             more, body = sql.strip()[1:].rsplit("\nSELECT", 1) if sql.strip().startswith(",") else ("", sql)
-            extra = f",{more}" if more else ""
-            ORACLES[name] = f"{portable(*names)}{extra}, result AS ({'SELECT' + body if more else body})\nSELECT {replaced} FROM result"
+            before = ", ".join(x for x in (portable(*names), more.strip()) if x)
+            ORACLES[name] = f"WITH {before + ', ' if before else ''}result AS ({'SELECT' + body if more else body})\nSELECT {replaced} FROM result"
         return f
 
     return add
@@ -47,42 +47,42 @@ def _per_cell(df: DataFrame, *aggregates) -> DataFrame:
     return df.groupBy("product", "latitude", "longitude").agg(*aggregates)
 
 
-# --- pure column functions: a mean per cell, and how many values there are ------------------
-def _mean(name: str, views: str, column: str, expression: str, source: str = "w"):
-    """A query for a column function: its mean, largest value and count per cell."""
-    sql = f"SELECT {CELLS}, avg(x) AS mean_value, max(x) AS max_value, count(x) AS n FROM (SELECT *, {expression} AS x FROM {source}) GROUP BY {CELLS}"
+# --- pure column functions: a total per cell, and how many values there are ------------------
+def _total(name: str, views: str, column: str, expression: str, source: str = "w"):
+    """A query for a column function: its total, largest value and count per cell."""
+    sql = f"SELECT {CELLS}, sum(x) AS total, max(x) AS max_value, count(x) AS n FROM (SELECT *, {expression} AS x FROM {source}) GROUP BY {CELLS}"
 
     def add(f):
         def run(*dfs):
-            return _per_cell(f(*dfs), F.avg(column).alias("mean_value"), F.max(column).alias("max_value"), F.count(column).alias("n"))
+            return _per_cell(f(*dfs), F.sum(column).alias("total"), F.max(column).alias("max_value"), F.count(column).alias("n"))
 
-        query(name, views, sql, "mean_value max_value")(run)
+        query(name, views, sql, "total max_value")(run)
         return f
 
     return add
 
 
-@_mean("p5_to_celsius", "wx", "t2m", "t2m - 273.15e0", "wx")
+@_total("p5_to_celsius", "wx", "t2m", "t2m - 273.15e0", "wx")
 def _(wx):
     return units.convert_temperature(wx, "t2m", "K")
 
 
-@_mean("p6_to_millimetres", "wx", "tp", "tp / 1000 * 1000.0e0", "wx")
+@_total("p6_to_millimetres", "wx", "tp", "tp / 1000 * 1000.0e0", "wx")
 def _(wx):
     return units.convert_precipitation(wx.withColumn("tp", F.col("tp") / 1000), "tp", "m")
 
 
-@_mean("p7_wind_speed_from_components", "w", "x", "sqrt(u_wind_10m * u_wind_10m + v_wind_10m * v_wind_10m)")
+@_total("p7_wind_speed_from_components", "w", "x", "sqrt(u_wind_10m * u_wind_10m + v_wind_10m * v_wind_10m)")
 def _(w):
     return w.withColumn("x", units.wind_speed_from_components(F.col("u_wind_10m"), F.col("v_wind_10m")))
 
 
-@_mean("p8_derive_wind_speeds", "w", "wind_speed_10m", "sqrt(u_wind_10m * u_wind_10m + v_wind_10m * v_wind_10m)")
+@_total("p8_derive_wind_speeds", "w", "wind_speed_10m", "sqrt(u_wind_10m * u_wind_10m + v_wind_10m * v_wind_10m)")
 def _(w):
     return cleaning.derive_wind_speeds(w.drop("wind_speed_10m"))
 
 
-@_mean("p10_extrapolate_to_hub_height", "w", "x", "wind_speed_10m * pow(10.0e0, 0.143e0)")
+@_total("p10_extrapolate_to_hub_height", "w", "x", "wind_speed_10m * pow(10.0e0, 0.143e0)")
 def _(w):
     return w.withColumn("x", wind.extrapolate_to_hub_height(F.col("wind_speed_10m")))
 
@@ -90,12 +90,12 @@ def _(w):
 _CF = "CASE WHEN {w} IS NULL THEN NULL WHEN {w} < 3 OR {w} >= 25 THEN 0.0e0 WHEN {w} >= 12 THEN 1.0e0 ELSE ({w} * {w} * {w} - 27) / (1728 - 27.0e0) END".format(w="wind_speed_10m")
 
 
-@_mean("p11_capacity_factor", "w", "x", _CF)
+@_total("p11_capacity_factor", "w", "x", _CF)
 def _(w):
     return w.withColumn("x", wind.capacity_factor(F.col("wind_speed_10m")))
 
 
-@_mean("p12_power_output", "w", "x", f"3000 * ({_CF})")
+@_total("p12_power_output", "w", "x", f"3000 * ({_CF})")
 def _(w):
     return w.withColumn("x", wind.power_output(F.col("wind_speed_10m")))
 
@@ -103,28 +103,28 @@ def _(w):
 _CURVE = _CF.replace("wind_speed_10m", "(floor(wind_speed_10m * 10) / 10.0e0)")
 
 
-@_mean("p13_power_curve", "w", "capacity_factor", f"CASE WHEN wind_speed_10m <= 30.0e0 + 0.1e0 THEN {_CURVE} END", "(SELECT * FROM w WHERE floor(wind_speed_10m * 10) <= 300)")
+@_total("p13_power_curve", "w", "capacity_factor", f"CASE WHEN wind_speed_10m <= 30.0e0 + 0.1e0 THEN {_CURVE} END", "(SELECT * FROM w WHERE floor(wind_speed_10m * 10) <= 300)")
 def _(w):
     curve = wind.power_curve(w.sparkSession).withColumn("tenth", F.round(F.col("wind_speed") * 10).cast("long"))
     return w.withColumn("tenth", F.floor(F.col("wind_speed_10m") * 10)).join(curve, "tenth")
 
 
-@_mean("p14_plane_of_array_ratio", "w", "x", "least(greatest(solar_radiation / 1000.0e0, 0), 1)")
+@_total("p14_plane_of_array_ratio", "w", "x", "least(greatest(solar_radiation / 1000.0e0, 0), 1)")
 def _(w):
     return w.withColumn("x", solar.plane_of_array_ratio_capacity_factor(F.col("solar_radiation")))
 
 
-@_mean("p17_runoff", "w", "x", "precipitation * 0.4e0")
+@_total("p17_runoff", "w", "x", "precipitation * 0.4e0")
 def _(w):
     return w.withColumn("x", hydro.runoff_from_precipitation(F.col("precipitation")))
 
 
-@_mean("p18_gust_factor", "w2", "x", "CASE WHEN wind_speed_10m > 0 THEN wind_gust_10m / wind_speed_10m END", "w2")
+@_total("p18_gust_factor", "w2", "x", "CASE WHEN wind_speed_10m > 0 THEN wind_gust_10m / wind_speed_10m END", "w2")
 def _(w2):
     return w2.withColumn("x", storms.gust_factor(F.col("wind_gust_10m"), F.col("wind_speed_10m")))
 
 
-@_mean("p19_lapse_rate", "w", "x", "temperature_2m + latitude * 0.0065e0")
+@_total("p19_lapse_rate", "w", "x", "temperature_2m + latitude * 0.0065e0")
 def _(w):
     return w.withColumn("x", verification.lapse_rate_adjustment(F.col("temperature_2m"), F.col("latitude")))
 

@@ -118,8 +118,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """One row per text: its id, the base counts, both distances and the verdict ``kept``."""
     few = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     found = features(few).select(F.struct(F.col("_row.id").alias("id")).alias("_row"), "_q")
-    found = written(found, folder or shared_folder(docs.sparkSession), "quality")
-    out = judged(found, references(found))
+    folder = folder or shared_folder(docs.sparkSession)
+    found = written(found, folder, "quality")
+    # Written too, so that their size is known and the texts need not move by language.
+    out = judged(found, written(references(found), folder, "references"))
     return out.select(F.col("_row.id").alias(id_col), *FEATURES[:6], "kept", F.round("js_classes", 6).alias("js_classes"), F.round("js_common", 6).alias("js_common"))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolia.llm.tables import shared_folder, table, written
+from aeolia.llm.tables import dropped, shared_folder, table, written
 from aeolia.llm.words import mix, slices, windows
 
 GROUP = 64
@@ -328,9 +328,12 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     # What chance alone shares goes in two steps: without the sets that the first rules out,
     # fewer tokens of the others are shared.
     tokens = written(_plausible(tokens, percent), folder, "plausible-1")
+    dropped(spark, f"{folder}/tokens")
     tokens = written(_plausible(tokens, percent).where("basic").drop("basic"), folder, "plausible-2")
+    dropped(spark, f"{folder}/plausible-1")
     shared = tokens.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
     tokens = written(tokens.join(shared, "token", "left_semi"), folder, "shared")
+    dropped(spark, f"{folder}/plausible-2")
     near = tokens.select("d").distinct()
     sketch = classes.join(near, "d", "left_semi").groupBy("d").agg(F.min_by(F.struct("n", "bits"), F.struct("n", "a", "b")).alias("v")).select("d", "v.*")
     sketch = written(sketch, folder, "sketch")

@@ -126,11 +126,14 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Rows of ``docs`` that are kept, with their columns."""
-    few = docs.select("text", "lang")
-    found = features(few).select("_q")
-    refs = written(references(found), folder or shared_folder(docs.sparkSession), "references")
-    return judged(features(docs), refs).where("kept").select("_row.*")
+    """Rows of ``docs`` that are kept, with their columns.
+
+    Rows are written once with their counts; a filter on top of the counts' own expressions
+    would be pushed through them and repeat them many times over in the plan.
+    """
+    folder = folder or shared_folder(docs.sparkSession)
+    found = written(features(docs), folder, "quality")
+    return judged(found, written(references(found), folder, "references")).where("kept").select("_row.*")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

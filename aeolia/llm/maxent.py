@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolia.llm.tables import shared_folder, table, written
+from aeolia.llm.tables import most_frequent, shared_folder, table, written
 from aeolia.llm.words import slices
 
 WORD_CLASSES, CLASS_SIZE, REST_CLASSES = 32, 32, 16
@@ -211,7 +211,8 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = own.where("training")
     all_counts = written(counts(learn.select("t")), folder, "counts")
-    top = all_counts.orderBy(F.desc("c"), "h").limit(MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT rows
+    top = most_frequent(all_counts, "c", MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT rows
+    top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
     known = spark.sparkContext.broadcast(Known(h[order], c[order], np.where(order < VOCABULARY, order, -1)))

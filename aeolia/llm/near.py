@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolia.llm.tables import dropped, shared_folder, table, written
+from aeolia.llm.tables import dropped, most_frequent, shared_folder, table, written
 from aeolia.llm.words import mix, slices, windows
 
 GROUP = 64
@@ -97,7 +97,7 @@ def _classes(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _frequent(docs: DataFrame, k: int) -> DataFrame:
-    """(token, df): how many texts have it, for tokens common within a batch; of all texts."""
+    """(token, df): in how many texts it is, counted where it is common among some megabytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +111,7 @@ def _frequent(docs: DataFrame, k: int) -> DataFrame:
                     held = []
 
     total = docs.mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
-    return total.orderBy(F.desc("df"), "token").limit(MOST_FREQUENT)
+    return total
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -318,7 +318,8 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     key = ["n", "a", "b", F.when(F.col("n") == 0, F.col("d")).alias("e")]
     least = classes.groupBy(*key).agg(F.min("d").alias("r"))
     rep = written(least.where("n > 0"), folder, "representatives")
-    top = _frequent(docs, k).toPandas()  # at most MOST_FREQUENT rows
+    common = written(_frequent(docs, k), folder, "common")
+    top = most_frequent(common, "df", MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT rows
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     level = np.minimum(255, 1 + 4 * np.log2(np.maximum(1, top["df"].to_numpy(float)))).astype(np.uint8)

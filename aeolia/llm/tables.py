@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,3 +30,20 @@ def dropped(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def most_frequent(counted: DataFrame, count: str, most: int) -> DataFrame:
+    """Rows whose count is in the upper ranges that together hold at most ``most`` rows.
+
+    A histogram of the counts' magnitudes (some hundred rows) gives the bound; no task and no
+    driver ever ranks more rows than are kept.
+    """
+    size = F.floor(F.log2(count) * 16)
+    ranges = sorted(counted.groupBy(size.alias("size")).count().collect(), key=lambda r: -r["size"])
+    total, least = 0, None
+    for r in ranges:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["size"]
+    return counted.where(size >= least if least is not None else F.lit(False))

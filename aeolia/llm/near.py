@@ -125,10 +125,7 @@ def _more(n: np.ndarray) -> np.ndarray:
 
 
 def _first_tokens(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """(token, d, n, at, basic): each set's first tokens and how many come before.
-
-    ``basic`` marks those of prefix_size; ``_more`` follow them.
-    """
+    """(d, n, tokens): each set's first tokens in order, those of prefix_size and then ``_more``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, level = frequent.value
@@ -147,24 +144,30 @@ def _first_tokens(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                     rank[few] = np.where(common[p] == s[few], level[p], 0)
                 order = np.lexsort((rank, row))  # stable: equal ranks stay by hash
                 place = np.arange(len(s)) - np.repeat(begin, n)
-                basic = place < np.repeat(prefix_size(n, percent), n)
                 taken = place < np.repeat(prefix_size(n, percent) + _more(n), n)
-                s, row, place, basic = s[order][taken], row[taken], place[taken], basic[taken]
-                yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(d[at + row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(basic)], names=["token", "d", "n", "at", "basic"])
+                upto = np.r_[0, np.cumsum(np.bincount(row[taken], minlength=len(n)))].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(upto), pa.array(s[order][taken].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(d[at : at + len(n)]), pa.array(n.astype(np.int64)), lists], names=["d", "n", "tokens"])
 
-    return docs.mapInArrow(run, "token long, d long, n int, at int, basic boolean")
+    return docs.mapInArrow(run, "d long, n long, tokens array<long>")
 
 
-def _plausible(tokens: DataFrame, percent: int) -> DataFrame:
-    """Rows of sets that share enough of their first tokens with any other sets.
+def _plausible(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that share enough of their first tokens with any other sets.
 
     Two sets share as many as the smaller of them gives beyond prefix_size, and one more; the
-    smaller has at least percent / 100 of the tokens of the larger.
+    smaller has at least percent / 100 of the tokens of the larger. A repeated id counts its own
+    tokens again, which keeps more sets and never fewer.
     """
-    needed = f"greatest(1, (n * {percent} div {SCALE}) div 10)"
-    shared = tokens.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
-    enough = tokens.join(shared, "token", "left_semi").groupBy("d").agg(F.count_distinct("token").alias("k"), F.max("n").alias("n")).where(f"k >= {needed}")
-    return tokens.join(enough.select("d"), "d", "left_semi")
+    tokens = sets.select(F.explode("tokens").alias("token"), "d")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    enough = tokens.join(shared, "token", "left_semi").groupBy("d").agg(F.count("*").alias("k"))
+    return sets.join(enough, "d").where(f"k >= greatest(1, (n * {percent} div {SCALE}) div 10)").drop("k")
+
+
+def _basic(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, d, n, at): the tokens of prefix_size and how many come before each."""
+    return sets.select("d", "n", F.posexplode("tokens").alias("at", "token")).where(f"at < n - (n * {percent} + {SCALE - 1}) div {SCALE} + 1")
 
 
 def _token_arrays(docs: DataFrame, k: int) -> DataFrame:
@@ -324,14 +327,15 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     order = np.argsort(token)
     level = np.minimum(255, 1 + 4 * np.log2(np.maximum(1, top["df"].to_numpy(float)))).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((token[order], level[order]))
-    tokens = _first_tokens(docs, k, percent, frequent).join(rep.select(F.col("r").alias("d")), "d", "left_semi")
-    tokens = written(tokens, folder, "tokens")
+    firsts = _first_tokens(docs, k, percent, frequent).join(rep.select(F.col("r").alias("d")), "d", "left_semi")
+    firsts = written(firsts, folder, "tokens")
     # What chance alone shares goes in two steps: without the sets that the first rules out,
     # fewer tokens of the others are shared.
-    tokens = written(_plausible(tokens, percent), folder, "plausible-1")
+    firsts = written(_plausible(firsts, percent), folder, "plausible-1")
     dropped(spark, f"{folder}/tokens")
-    tokens = written(_plausible(tokens, percent).where("basic").drop("basic"), folder, "plausible-2")
+    firsts = written(_plausible(firsts, percent), folder, "plausible-2")
     dropped(spark, f"{folder}/plausible-1")
+    tokens = _basic(firsts, percent)
     shared = tokens.groupBy("token").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("token")
     tokens = written(tokens.join(shared, "token", "left_semi"), folder, "shared")
     dropped(spark, f"{folder}/plausible-2")

@@ -12,7 +12,9 @@
 4. Exact pass. The sets of each component are cut into groups of at most ``GROUP`` members;
    a matrix row keeps a group's token union and the smallest size in it. A set is compared
    with those groups of other components that share a first token, first through the bound
-   |set & union|, and only qualifying groups are opened. Found links merge components.
+   |set & union|, and only qualifying groups are opened. Found links merge components. The
+   place of a shared token in the order bounds what can follow it, so a pair that is too far
+   apart drops out before the join where its rare tokens come first.
 
 The result has every document with its set's size and the smallest id in its component. A
 text without words has an empty set and links with nothing. Rows without id are left out;
@@ -366,12 +368,16 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     members = written(sized.select("d", "c", "n", F.struct("k", "c").alias("rank"), F.xxhash64("c", of).alias("g")), folder, "members")
     # The sets of the smaller component ask the groups of the larger one. Where a token's sets
     # are nearly all of one component, that component asks nothing and only the rest does.
-    of_group = tokens.select("token", "d").join(members, "d")
-    index = of_group.groupBy("token", "g", "rank").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # At the first token of the order that two sets share, each has enough tokens left for a
+    # link: (SCALE + percent) * left >= percent * (n + m). What is left beyond its own size is ``spare``.
+    spare = F.expr(f"{SCALE + percent} * (n - at) - {percent} * n")
+    of_group = tokens.select("token", "d", "n", spare.alias("spare")).join(members.drop("n"), "d")
+    index = of_group.groupBy("token", "g", "rank").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("spare").alias("most_spare"))
     open_ = index.groupBy("token").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).where("least < most")
-    index = index.join(open_, "token").where("rank > least").select("token", "g", "rank", "low", "high")
-    asks = of_group.join(open_, "token").where("rank < most").select("token", F.col("d").alias("x"), F.col("rank").alias("mine"), "n")
-    rows = asks.join(index, "token").where("mine < rank").where(f"{SCALE} * least(n, high) >= {percent} * greatest(n, low)")
+    index = index.join(open_, "token").where("rank > least").select("token", "g", "rank", "low", "high", "most_spare")
+    asks = of_group.join(open_, "token").where("rank < most").select("token", F.col("d").alias("x"), F.col("rank").alias("mine"), "n", "spare")
+    rows = asks.join(index, "token").where(f"mine < rank and spare >= {percent} * low and most_spare >= {percent} * n")
+    rows = rows.where(f"{SCALE} * least(n, high) >= {percent} * greatest(n, low)")
     rows = rows.select("x", "g").distinct()
     rows = written(_likely_groups(rows, members, sketch, percent), folder, "likely-exact")
     opened = members.select("d", "g").join(rows.select("g").distinct(), "g", "left_semi")

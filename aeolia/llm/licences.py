@@ -1,7 +1,8 @@
 """Licence scans by sentence rules, with DataFrame functions only.
 
-Sentences are normalised and mapped to identifiers of known licence sentences; the identifiers
-of a text, in its order, are then matched against ordered rules. A rule matches where its
+Sentences are normalised and mapped to identifiers of known licence sentences; a sentence may
+be wrapped over lines, behind comment signs too, but ends at an empty line. The identifiers of
+a text, in its order, are then matched against ordered rules. A rule matches where its
 identifiers follow one another, other known sentences may lie between.
 
 A null text is empty and has no sentences; repeated rows get equal rows; other columns are
@@ -11,6 +12,8 @@ rule that matches is listed, by name.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +60,11 @@ SENTENCES = {
     "spdx license identifier gpl 3.0 only": "gpl3-ref",
     "spdx license identifier gpl 3.0 or later": "gpl3-ref",
 }
+#: Known sentences that the SQL does not have: with what follows the comma in the licences themselves.
+CONTINUED = {
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-as-is",
+}
 # Ordered rules over identifiers; several rules may name one licence.
 RULES = (
     ("apache-2.0", ("apache-ref",)),
@@ -82,16 +90,33 @@ RULES = (
     ("unlicense", ("unlicense-ref",)),
 )
 NAMES = sorted({name for name, _ in RULES})
-#: Every known sentence has one of these; texts and sentences without are passed over.
+#: For the SQL, where a sentence ends with its line: every known sentence has one of these; texts and sentences without are passed over.
 ANCHOR = "(?i)licen[sc]e|public domain|rights reserved|copyright|warranty|free software|gnu general"
 ENDS = r"[\n\r]+|[.!?;:,]*[.!?;][\x20\t]+"
 assert all(any(a in s for a in ("license", "public domain", "rights reserved", "copyright", "warranty", "free software", "gnu general")) for s in SENTENCES)
 
 
+#: Every text with one of the anchors has one of these, however its words are spaced or wrapped.
+MAYBE = "(?i)licen[sc]e|public|reserved|copyright|warranty|software|gnu"
+_BY_WORDS = {s.replace(". ", " "): i for s, i in (SENTENCES | CONTINUED).items()}
+
+
 def plain(c: Column) -> Column:
-    """Lower case, everything but letters, digits and inner dots as one space."""
-    words = F.regexp_replace(F.lower(c), F.lit("[^a-z0-9.]+"), F.lit(" "))
-    return F.regexp_replace(words, F.lit(r"^[ .]+|[ .]+$"), F.lit(""))
+    """Lower case, everything but letters, digits and inner dots as one space; L for a line's end, P for a sentence's or an empty line."""
+    c = F.regexp_replace(F.lower(c), F.lit(r"\r\n?"), F.lit("\n"))
+    steps = (
+        (r"[.!?;](?=[\x20\t\n]|$)", "P"), (r"[^a-z0-9.P\n]+", " "), (r"(?<![a-z0-9])\.+|\.+(?![a-z0-9])", " "), (r"\x20+", " "),
+        (r"\x20?\n\x20?(?:\n\x20?)+", "P"), (r"\x20?\n\x20?", "L"), (r"\x20?([PL])\x20?", "$1"), (r"^\x20|\x20$", ""),
+    )
+    for a, b in steps:
+        c = F.regexp_replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _known() -> str:
+    """Known sentences, the longest first, whole between two ends; an end of line may stand between words."""
+    gap = lambda s: re.sub(r"(\. )|( )", lambda m: "[ LP]+" if m[1] else "[ L]", s.replace(".0", r"\.0"))
+    return "(?<![^LP])(?:" + "|".join(gap(s) for s in sorted(SENTENCES | CONTINUED, key=len, reverse=True)) + ")(?![^LP])"
 
 
 def _rule(ids: tuple[str, ...]) -> str:
@@ -102,10 +127,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(id, n_sentences, sentence_ids, licences): identifiers in the text's order; licences by name."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     none = F.array().cast("array<string>")
-    parts = F.when(F.col("t").rlike(ANCHOR), F.filter(F.split("t", ENDS), lambda x: x.rlike(ANCHOR))).otherwise(none)
-    df = df.select("id", F.transform(parts, plain).alias("s"))
-    known = F.create_map(*(F.lit(x) for kv in SENTENCES.items() for x in kv))
-    df = df.select("id", F.transform(F.filter("s", lambda x: x.isin(*SENTENCES)), lambda x: F.element_at(known, x)).alias("ids"))
+    parts = F.when(F.col("t").rlike(MAYBE), F.regexp_extract_all(plain(F.col("t")), F.lit(_known()), F.lit(0))).otherwise(none)
+    known = F.create_map(*(F.lit(x) for kv in _BY_WORDS.items() for x in kv))
+    df = df.select("id", F.transform(parts, lambda x: F.element_at(known, F.regexp_replace(x, F.lit("[ LP]+"), F.lit(" ")))).alias("ids"))
     df = df.withColumn("line", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
     matched = [F.when(F.greatest(*hits) if len(hits := [F.col("line").rlike(_rule(ids)) for n, ids in RULES if n == name]) > 1 else hits[0], F.lit(name)) for name in NAMES]
     return df.select(F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(F.array_compact(F.array(*matched)), ",").alias("licences"))

@@ -67,6 +67,20 @@ def seeds(h, row, size, mask, k) -> tuple[np.ndarray, np.ndarray]:
     return s ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1), at
 
 
+def longest(n: np.ndarray, least_share: float) -> np.ndarray:
+    """The most neighbours of the sorted places ``n`` that are ``least_share`` of the stretch from first to last.
+
+    On ties the shortest stretch, then the first one.
+    """
+    k = np.arange(len(n))
+    # The k-th to j-th keep the share where level[j] - level[k] >= least_share - 1.
+    level = k - least_share * n
+    lowest = np.minimum.accumulate(level)
+    begin = np.searchsorted(-lowest, -(level + 1 - least_share) - 1e-9)
+    j = min(k.tolist(), key=lambda j: (begin[j] - j, n[j] - n[begin[j]], j))
+    return n[begin[j] : j + 1]
+
+
 def verified(test: TestSide, w: Words, h: np.ndarray, d_at: np.ndarray, t_at: np.ndarray, least_words: int, least_share: float) -> dict:
     """Best diagonal of each (text, item) whose aligned words agree often enough."""
     item, doc = test.row[t_at], w.row[d_at]
@@ -79,19 +93,14 @@ def verified(test: TestSide, w: Words, h: np.ndarray, d_at: np.ndarray, t_at: np
         low, high = max(p, int(first[d])), min(p + int(test.size[i]), int(first[d + 1]))
         t = int(test.first[i]) + low - p
         equal = h[low:high] == test.h[t : t + high - low]
-        # Longest stretch that starts and ends on equal words and keeps the share.
+        # Stretch of most equal words that starts and ends on one and keeps the share.
         n = np.flatnonzero(equal)
         total = int(test.size[i])
         need = min(least_words, total)
         if len(n) < need:
             continue
         if len(n) < least_share * total:
-            gain = np.where(equal, 1 - least_share, -least_share)
-            run = np.concatenate([[0.0], np.cumsum(gain)])
-            lowest = np.minimum.accumulate(run)
-            stop = int(np.argmax(run - lowest))
-            begin = int(np.flatnonzero(run[: stop + 1] == lowest[stop])[-1])
-            n = n[(n >= begin) & (n < stop)]
+            n = longest(n, least_share)
             if len(n) < max(need, 13):
                 continue
         got = (len(n), -(low + int(n[0]) - int(first[d])), int(n[-1] - n[0]) + 1, total)

@@ -11,7 +11,7 @@ from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
-from aeolia.llm.units import OP7_SQL, op7_units
+from aeolia.llm.units import OP7_ALL_SQL, OP7_SQL, op7_all_lines, op7_units
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -20,12 +20,14 @@ QUERIES = {
     "op4_personal": op4_personal,
     "op5_maxent": op5_maxent,
     "op6_near": op6_near,
+    "op7_all_lines": op7_all_lines,
     "op7_units": op7_units,
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
     "op10_licences": op10_licences,
 }
 ORACLES: dict[str, str] = {
+    "op7_all_lines": OP7_ALL_SQL,
     "op7_units": OP7_SQL,
     "op10_licences": OP10_SQL,
 }

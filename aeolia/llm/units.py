@@ -66,6 +66,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uni
     return out.select(F.col("d").alias(id_col), F.col("k").alias("unit"), "start", "end", F.col("f.d").alias("kept_id"), F.col("f.start").alias("kept_start"))
 
 
+def op7_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line with a word counts, so that short lines, the most repeated, are found too."""
+    return repeats(table(spark, sf_dir, "documents"), least_words=1)
+
+
 def op7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"))
 
@@ -85,3 +90,4 @@ ranked AS (
   FROM counted WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit))
 SELECT doc_id, unit, start, "end", kept_id, kept_start FROM ranked WHERE r > 1
 """
+OP7_ALL_SQL = OP7_SQL.replace(f">= {LEAST_WORDS})", ">= 1)")

@@ -2,10 +2,12 @@
 
 A token's probability is that of its class given the words before, times that of the word in
 its class. Both factors are softmax models over hashed features: the last word, the last two
-together, and skip features of the second and third last. The ``WORD_CLASSES * CLASS_SIZE``
-most frequent tokens (a bounded vocabulary) are words of their own; all others fall in one of
-``REST_CLASSES`` classes by their last bytes, within which smoothed counts over the whole
-corpus give the word's share. The probabilities of all words, known or not, sum to 1.
+together, and skip features of the second and third last. The most frequent tokens are words
+of their own, as many as the power 4/9 of the number of training tokens, in as many classes as
+each has words; all others fall in classes by their last bytes, half as many, within which
+smoothed counts over the whole corpus give the word's share. As context they stand in buckets
+by hash, as many as there are words. All sizes grow with the corpus (``Sizes.of``). The
+probabilities of all words, known or not, sum to 1.
 
 Counts cover all training texts. Weights are trained in ``ROUNDS`` rounds, each over its own
 part of the training texts and all rounds together over every one: each task takes gradient
@@ -43,6 +45,37 @@ BLOCKS = 16
 LOG10 = math.log(10)
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Classes of words, words in each, classes of all other tokens, buckets of those as context, of pairs and of inner features."""
+
+    word_classes: int = WORD_CLASSES
+    class_size: int = CLASS_SIZE
+    rest_classes: int = REST_CLASSES
+    buckets: int = REST_CLASSES
+    pairs: int = PAIRS
+    inner: int = INNER
+
+    @property
+    def k(self) -> int:
+        return self.word_classes + self.rest_classes
+
+    @property
+    def vocabulary(self) -> int:
+        return self.word_classes * self.class_size
+
+    @property
+    def contexts(self) -> int:
+        return self.vocabulary + self.buckets + 1
+
+    @staticmethod
+    def of(total: int) -> Sizes:
+        """From the number of training tokens, at least what the module's constants say."""
+        side = max(CLASS_SIZE, math.ceil(total ** (2 / 9)))
+        words = side * side
+        return Sizes(side, side, side // 2, words, max(PAIRS, 2 * words), max(INNER, 2 * words))
+
+
 @dataclass
 class Known:
     """The most frequent tokens by hash: counts and places in the vocabulary (-1: none)."""
@@ -53,12 +86,12 @@ class Known:
 
 
 def tokens(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, row, hash, rest class) of all tokens, an end after each text's words."""
+    """(first row, row, hash, code of the last bytes) of all tokens, an end after each text's words."""
     for at, _, w in slices(column):
         n = len(w.offsets) - 1
         last = w.data[w.end - 1].astype(np.int64)
         before = np.where(w.end - w.start > 1, w.data[np.maximum(w.end - 2, 0)], 0).astype(np.int64)
-        rest = (last * 31 + before * 7) % REST_CLASSES
+        rest = last * 31 + before * 7
         h = w.hashes()
         h = np.where(h == END, h + np.uint64(1), h)
         put = w.first[1:]
@@ -89,19 +122,20 @@ def looked_up(h: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hit, known.count[p], -1)[back], np.where(hit, known.place[p], -1)[back]
 
 
-def features(place: np.ndarray, rest: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, outer features (n, 4), inner features (n, 2)) of each token."""
-    c = np.where(place >= 0, place, VOCABULARY + rest)
+def features(place: np.ndarray, rest: np.ndarray, row: np.ndarray, sizes: Sizes = Sizes(), h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, outer features (n, 4), inner features (n, 2)) of each token; without hashes its class is its bucket."""
+    bucket = rest if h is None else ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(sizes.buckets)).astype(np.int64)
+    c = np.where(place >= 0, place, sizes.vocabulary + bucket)
     past = []
     for k in (1, 2, 3):
-        x = np.full(len(c), CONTEXTS - 1)
+        x = np.full(len(c), sizes.contexts - 1)
         same = row[k:] == row[:-k]
         x[k:][same] = c[:-k][same]
         past.append(x)
-    pair = (past[0] * 0x9E3779B1 + past[1] * 0x85EBCA77) % 0x7FFFFFFF % PAIRS
-    outer = np.stack([past[0], CONTEXTS + past[1], 2 * CONTEXTS + past[2], 3 * CONTEXTS + pair], axis=1)
-    cls = np.where(place >= 0, place // CLASS_SIZE, WORD_CLASSES + rest)
-    inner = np.stack([(past[0] * 0x9E3779B1 + cls * 0xC2B2AE35) % 0x7FFFFFFF % INNER, INNER + (past[1] * 0x85EBCA77 + cls * 0x27D4EB2F) % 0x7FFFFFFF % INNER], axis=1)
+    pair = (past[0] * 0x9E3779B1 + past[1] * 0x85EBCA77) % 0x7FFFFFFF % sizes.pairs
+    outer = np.stack([past[0], sizes.contexts + past[1], 2 * sizes.contexts + past[2], 3 * sizes.contexts + pair], axis=1)
+    cls = np.where(place >= 0, place // sizes.class_size, sizes.word_classes + rest)
+    inner = np.stack([(past[0] * 0x9E3779B1 + cls * 0xC2B2AE35) % 0x7FFFFFFF % sizes.inner, sizes.inner + (past[1] * 0x85EBCA77 + cls * 0x27D4EB2F) % 0x7FFFFFFF % sizes.inner], axis=1)
     return cls, outer, inner
 
 
@@ -113,12 +147,12 @@ class Weights:
     inner_bias: np.ndarray
 
     @staticmethod
-    def start(class_counts: np.ndarray, word_counts: np.ndarray) -> Weights:
+    def start(class_counts: np.ndarray, word_counts: np.ndarray, sizes: Sizes = Sizes()) -> Weights:
         log = lambda x: np.log(x + 0.5).astype(np.float32)
         zeros = lambda n, k: np.zeros((n, k), np.float32)
         # A place without a word is never asked for and takes no share.
-        inner = np.where(word_counts > 0, log(word_counts), -60).reshape(WORD_CLASSES, CLASS_SIZE).astype(np.float32)
-        return Weights(zeros(3 * CONTEXTS + PAIRS, K), zeros(2 * INNER, CLASS_SIZE), log(class_counts), inner)
+        inner = np.where(word_counts > 0, log(word_counts), -60).reshape(sizes.word_classes, sizes.class_size).astype(np.float32)
+        return Weights(zeros(3 * sizes.contexts + sizes.pairs, sizes.k), zeros(2 * sizes.inner, sizes.class_size), log(class_counts), inner)
 
 
 def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -132,7 +166,7 @@ def log_probability(w: Weights, cls, place, outer, inner) -> np.ndarray:
     out = _log_softmax(w.outer[outer].sum(axis=1) + w.outer_bias)[n, cls]
     own = np.flatnonzero(place >= 0)
     z = w.inner[inner[own]].sum(axis=1) + w.inner_bias[cls[own]]
-    out[own] += _log_softmax(z)[np.arange(len(own)), place[own] % CLASS_SIZE]
+    out[own] += _log_softmax(z)[np.arange(len(own)), place[own] % w.inner.shape[1]]
     return out
 
 
@@ -158,7 +192,7 @@ def train_batch(w: Weights, seen: tuple[np.ndarray, np.ndarray], cls, place, out
         if len(own):
             i = inner[s][own]
             g = -np.exp(_log_softmax(w.inner[i].sum(axis=1) + w.inner_bias[y[own]]))
-            g[np.arange(len(own)), place[s][own] % CLASS_SIZE] += 1
+            g[np.arange(len(own)), place[s][own] % w.inner.shape[1]] += 1
             for j in range(i.shape[1]):
                 _step(w.inner, seen[1], i[:, j], g)
 
@@ -173,8 +207,10 @@ def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys).applyInPandas(add, "block int, lane int, n long, v binary")
 
 
-def trained(docs: DataFrame, w: Weights, known) -> Weights:
-    """The average of the weights that each task reaches from ``w`` on its texts."""
+def trained(docs: DataFrame, w: Weights, known, sizes: Sizes, total: int) -> Weights:
+    """The average of the weights that each task reaches from ``w`` on its texts, ``total`` tokens in all."""
+    # A task yields all weights, so each has texts of an eighth as many tokens at least.
+    tasks = max(1, 8 * total // (w.outer.size + w.inner.size))
     spark = docs.sparkSession
     start = spark.sparkContext.broadcast(w)
 
@@ -185,7 +221,7 @@ def trained(docs: DataFrame, w: Weights, known) -> Weights:
         for batch in batches:
             for _, row, h, rest in tokens(batch.column(0)):
                 _, place = looked_up(h, known.value)
-                cls, outer, inner = features(place, rest, row)
+                cls, outer, inner = features(place, rest % sizes.rest_classes, row, sizes, h)
                 train_batch(own, seen, cls, place, outer, inner)
                 n += len(h)
         if n:
@@ -195,7 +231,7 @@ def trained(docs: DataFrame, w: Weights, known) -> Weights:
             for k, x in enumerate(np.array_split(flat, BLOCKS)):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "lane", "n", "v"])
 
-    parts = docs.mapInArrow(run, "block int, lane int, n long, v binary")
+    parts = docs.coalesce(tasks).mapInArrow(run, "block int, lane int, n long, v binary")
     rows = sorted(_summed(_summed(parts, ["block", "lane"]), ["block"]).collect(), key=lambda r: r.block)  # BLOCKS rows
     if not rows:
         return w
@@ -211,21 +247,22 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = own.where("training")
     all_counts = written(counts(learn.select("t")), folder, "counts")
+    total, distinct = all_counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    sizes = Sizes.of(total)
     top = most_frequent(all_counts, "c", MOST_FREQUENT).toPandas()  # at most MOST_FREQUENT rows
     top = top.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
     h, c = top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(h)
-    known = spark.sparkContext.broadcast(Known(h[order], c[order], np.where(order < VOCABULARY, order, -1)))
-    in_words = all_counts.join(F.broadcast(spark.createDataFrame(top[["h"]].head(VOCABULARY), "h long")), "h", "left_anti")
-    rests = {r.rest: (r.n, r.v) for r in in_words.groupBy("rest").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
-    total, distinct = all_counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    words = np.zeros(VOCABULARY)
-    words[: min(VOCABULARY, len(c))] = c[:VOCABULARY]
-    share = np.array([rests.get(k, (0, 0)) for k in range(REST_CLASSES)], float)
-    w = Weights.start(np.concatenate([words.reshape(WORD_CLASSES, CLASS_SIZE).sum(axis=1), share[:, 0]]), words)
+    known = spark.sparkContext.broadcast(Known(h[order], c[order], np.where(order < sizes.vocabulary, order, -1)))
+    in_words = all_counts.join(F.broadcast(spark.createDataFrame(top[["h"]].head(sizes.vocabulary), "h long")), "h", "left_anti")
+    rests = {r.rest: (r.n, r.v) for r in in_words.groupBy((F.col("rest") % sizes.rest_classes).alias("rest")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    words = np.zeros(sizes.vocabulary)
+    words[: min(sizes.vocabulary, len(c))] = c[: sizes.vocabulary]
+    share = np.array([rests.get(k, (0, 0)) for k in range(sizes.rest_classes)], float)
+    w = Weights.start(np.concatenate([words.reshape(sizes.word_classes, sizes.class_size).sum(axis=1), share[:, 0]]), words, sizes)
     if total:
         for k in range(ROUNDS):
-            w = trained(learn.where(F.pmod(F.xxhash64("id", "t"), F.lit(ROUNDS)) == k).select("t"), w, known)
+            w = trained(learn.where(F.pmod(F.xxhash64("id", "t"), F.lit(ROUNDS)) == k).select("t"), w, known, sizes, total // ROUNDS)
     weights = spark.sparkContext.broadcast(w)
     rest_total = np.log10(share[:, 0] + 0.5 * (share[:, 1] + 1))
     base_total = math.log10(total + 0.5 * (distinct + 1))
@@ -235,7 +272,8 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
             for at, row, hashes, rest in tokens(batch.column(1)):
                 n = int(row[-1]) + 1 if len(row) else 0
                 count, place = looked_up(hashes, known.value)
-                cls, outer, inner = features(place, rest, row)
+                rest = rest % sizes.rest_classes
+                cls, outer, inner = features(place, rest, row, sizes, hashes)
                 logs = np.concatenate([log_probability(weights.value, *(x[a : a + 65536] for x in (cls, place, outer, inner))) for a in range(0, len(cls), 65536)]) / LOG10
                 logs -= np.where(place < 0, rest_total[rest], 0)
                 found = count >= 0

@@ -9,6 +9,7 @@ from aeolia.llm.near import op6_near
 from aeolia.llm.personal import op4_personal
 from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
+from aeolia.llm.search import OP12_SQL, op12_search
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
 from aeolia.llm.units import OP7_ALL_SQL, OP7_SQL, op7_all_lines, op7_units
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
     "op10_licences": op10_licences,
+    "op12_search": op12_search,
 }
 ORACLES: dict[str, str] = {
     "op7_all_lines": OP7_ALL_SQL,
     "op7_units": OP7_SQL,
     "op10_licences": OP10_SQL,
+    "op12_search": OP12_SQL,
 }

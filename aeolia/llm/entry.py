@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from aeolia.llm.alignment import op13_alignment
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.licences import OP10_SQL, op10_licences
 from aeolia.llm.maxent import op5_maxent
@@ -12,6 +13,7 @@ from aeolia.llm.quality import op1_quality
 from aeolia.llm.search import OP12_SQL, op12_search
 from aeolia.llm.secrets import op8_secrets
 from aeolia.llm.toxicity import op2_toxicity
+from aeolia.llm.url_rules import OP11_SQL, op11_urls
 from aeolia.llm.units import OP7_ALL_SQL, OP7_SQL, op7_all_lines, op7_units
 
 QUERIES = {
@@ -26,11 +28,14 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
     "op10_licences": op10_licences,
+    "op11_urls": op11_urls,
     "op12_search": op12_search,
+    "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
     "op7_all_lines": OP7_ALL_SQL,
     "op7_units": OP7_SQL,
     "op10_licences": OP10_SQL,
+    "op11_urls": OP11_SQL,
     "op12_search": OP12_SQL,
 }

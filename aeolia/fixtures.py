@@ -38,6 +38,17 @@ UNION ALL SELECT 1 AS ingest_seq, * FROM {wx} WHERE time < (SELECT min(time) + I
     "wx_block": (("wx",), """
 SELECT product, latitude, longitude, cell_id, time, ssrd AS ssrd_true, sum(ssrd) OVER (PARTITION BY cell_id, blk ORDER BY time ROWS UNBOUNDED PRECEDING) AS ssrd
 FROM (SELECT *, (row_number() OVER (PARTITION BY cell_id ORDER BY time) + 1) DIV 3 AS blk FROM {wx}) x"""),
+    "ara_raw": (("wx",), """
+SELECT d.ingest_seq, time AS valid_time, latitude AS lat, longitude AS lon,
+  CASE WHEN d.ingest_seq = 1 THEN t2m + 50 WHEN cell_id % 7 = 0 AND hour(time) = 5 THEN 500.0e0 ELSE t2m END AS t,
+  0.6e0 * wind_speed_10m AS u10m, 0.8e0 * wind_speed_10m AS v10m, 'x' AS station_note,
+  sum(ssrd) OVER (PARTITION BY d.ingest_seq, cell_id, blk ORDER BY time ROWS UNBOUNDED PRECEDING) AS grad,
+  sum(tp) OVER (PARTITION BY d.ingest_seq, cell_id, blk ORDER BY time ROWS UNBOUNDED PRECEDING) AS tp
+FROM (SELECT *, (row_number() OVER (PARTITION BY cell_id ORDER BY time) + 1) DIV 3 AS blk FROM {wx}) AS x
+CROSS JOIN (SELECT 0 AS ingest_seq UNION ALL SELECT 1 AS ingest_seq) AS d
+WHERE d.ingest_seq = 0 OR time < (SELECT min(time) + INTERVAL '3' HOUR FROM {wx})"""),
+    "era5_raw": (("wx",), """
+SELECT 0 AS ingest_seq, time, latitude, longitude, t2m AS var167, 0.6e0 * wind_speed_10m AS u10, 0.8e0 * wind_speed_10m AS v10, ssrd, tp / 1000 AS tp FROM {wx}"""),
     "w": (("wx",), """
 SELECT product, time, latitude, longitude, wind_speed_10m, t2m - 273.15e0 AS temperature_2m, ssrd / 3600.0e0 AS solar_radiation,
   tp AS precipitation, 0.6e0 * wind_speed_10m AS u_wind_10m, 0.8e0 * wind_speed_10m AS v_wind_10m FROM {wx}"""),

@@ -47,10 +47,13 @@ BENJAMIN_DOMAIN = BoundingBox(*BENJAMIN_BOUNDS, name="Storm Benjamin domain")
 
 
 def remove_duplicate_times(
-    df: DataFrame, order: str | Column = "ingest_seq", *, cell=CELL, time: str = TIME
+    df: DataFrame, order: str | Column = "ingest_seq", *, cell=CELL, time: str = TIME,
+    copies: str | None = None,
 ) -> DataFrame:
     """Keep the first row, by ingest order, of each time stamp of a cell.
 
+    ``copies`` names a column for how many rows a time stamp had.
+
     An aggregate and not a window: copies meet before the shuffle, so a time stamp with a
     third of all rows stays one row per task on the wire.
     """
@@ -58,9 +61,10 @@ def remove_duplicate_times(
     order_column = F.col(order) if isinstance(order, str) else order
     others = [name for name in df.columns if name not in keys]
     first = df.withColumn("_order", order_column).groupBy(*keys).agg(
-        *[F.min_by(f"`{name}`", "_order").alias(name) for name in others]
+        *[F.min_by(f"`{name}`", "_order").alias(name) for name in others],
+        *([F.count("*").alias(copies)] if copies else []),
     )
-    kept = first.select(*df.columns)
+    kept = first.select(*df.columns, *([copies] if copies else []))
     for name in others:
         if df.schema[name].metadata:
             kept = kept.withMetadata(name, df.schema[name].metadata)
@@ -184,21 +188,20 @@ def _checked(df: DataFrame, ranges: dict) -> dict[str, tuple[str, Column]]:
 
 def apply_quality_control(
     df: DataFrame, ranges: dict = PHYSICAL_RANGES, action: str = "mask",
-    observation: Observation | None = None,
+    observation: Observation | None = None, more: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Turn values outside their plausible range into NULL, or only count them.
 
     The counts per variable come out of ``observation`` when the plan runs, without a job of
-    their own.
+    their own; ``more`` adds aggregates of the same rows to it.
     """
     if action not in ("mask", "report"):
         raise ValueError(f"unknown action {action!r}; use 'mask' or 'report'")
     checks = _checked(df, ranges)
     result = df
-    if observation is not None and checks:
-        result = result.observe(
-            observation, *[F.count_if(bad).alias(c) for c, (_, bad) in checks.items()]
-        )
+    if observation is not None and (checks or more):
+        counts = {**(more or {}), **{c: F.count_if(bad) for c, (_, bad) in checks.items()}}
+        result = result.observe(observation, *[value.alias(name) for name, value in counts.items()])
     if action == "mask" and checks:
         masked = result.withColumns(
             {name: F.when(~bad, F.col(name)) for name, bad in checks.values()}

@@ -23,7 +23,7 @@ from aeolia.operators.timeline import (
 __all__ = [
     "classify_gust_severity", "estimate_gusts", "exceedance_hours", "forecast_maxima",
     "gust_factor", "native_gust_variable", "ramp_magnitude", "resolve_gusts", "storm_hours",
-    "threshold_table", "wind_ramps",
+    "threshold_counts", "threshold_table", "wind_ramps",
 ]
 
 
@@ -32,6 +32,13 @@ def threshold_table(spark, catalogue: dict[str, float], name: str = "class") ->
     return spark.createDataFrame(list(catalogue.items()), f"{name} string, threshold double")
 
 
+def threshold_counts(df: DataFrame, column: str, catalogue: dict[str, float], name: str = "class") -> DataFrame:
+    """How many values reach each class of a catalogue: one pass, one row per class."""
+    counts = df.agg(*[F.count_if(F.col(column) >= t).alias(c) for c, t in catalogue.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias(name), F.lit(float(t)).alias("threshold"), F.col(c).alias("n")) for c, t in catalogue.items()])
+    return counts.select(F.inline(rows))
+
+
 def exceedance_hours(
     df: DataFrame, column: str, threshold: float, *, below: bool = False,
     timestep_hours: float | None = None, output: str = "exceedance_hours",

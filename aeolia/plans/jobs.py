@@ -15,9 +15,8 @@ from aeolia.operators.daily import cooling, daily, heating
 from aeolia.operators.storms import forecast_maxima
 from aeolia.operators.timeline import cell_columns
 from aeolia.operators.verification import elevation_band_metrics, station_metrics
-from aeolia.plans.standardise import open_product, product_facts
-from aeolia.sources.provenance import provenance_rows
-from aeolia.sources.tables import combine, read_paired_stations, write_product
+from aeolia.plans.standardise import open_product_observed
+from aeolia.sources.tables import combine, read_paired_stations, write_bucketed, write_product
 
 __all__ = [
     "ProductSource", "reanalysis_comparison", "standardise_all", "station_verification",
@@ -123,20 +122,26 @@ class ProductSource:
 
 def standardise_all(
     spark: SparkSession, sources: list[ProductSource], output: str, *,
-    domain: BoundingBox | None = None, start=None, end=None,
+    domain: BoundingBox | None = None, start=None, end=None, table: str | None = None,
+    buckets: int = 64,
 ) -> DataFrame:
     """Standardise and write every product, one job each; returns their provenance rows.
 
-    All products go into one table, parted by product and year, of which a job replaces its
-    own parts only: a second batch renews its products and leaves the others.
+    All products go into one place, parted by product and year, of which a job replaces its
+    own parts only: a second batch renews its products and leaves the others.  With ``table`` that
+    place is a table of this name with ``buckets`` of cells, which operators along time read without
+    a shuffle.  The rows and faults that the provenance names are counted by the writing job.
     """
     notes = []
     for source in sources:
-        table = open_product(
+        made = open_product_observed(
             spark, list(source.paths), source.product, format=source.format, domain=domain,
             start=start, end=end, **source.choices,
         )
-        write_product(table.drop("ingest_seq"), output, mode="overwrite")
-        facts = {**product_facts(source.product), "period": f"{start} to {end}"}
-        notes.append(provenance_rows(spark, source.product, facts))
+        rows = made.table.drop("ingest_seq")
+        if table is None:
+            write_product(rows, output, mode="overwrite")
+        else:
+            write_bucketed(rows, table, output, buckets=buckets)
+        notes.append(made.provenance(source.product))
     return combine(*notes)

@@ -10,11 +10,12 @@ total is involved, and otherwise whole blocks of time outside the range are skip
 from __future__ import annotations
 
 from datetime import timedelta
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from aeolia.fixed_values import INSTANTANEOUS, PER_SECOND_VARIABLES
+from aeolia.fixed_values import INSTANTANEOUS, PER_SECOND_VARIABLES, PHYSICAL_RANGES
 from aeolia.functions.basics import parse_time
 from aeolia.functions.units import convert_precipitation, convert_temperature
 from aeolia.operators.accumulation import to_rates
@@ -27,12 +28,16 @@ from aeolia.operators.cleaning import (
     subset_spatial,
     subset_temporal,
 )
-from aeolia.operators.naming import find_variable, rename_to_canonical
+from aeolia.operators.naming import find_variable, rename_to_canonical, renames_for
 from aeolia.operators.timeline import BLOCK_HOURS
+from aeolia.sources.provenance import provenance_rows
 from aeolia.sources.registry import ProductSpec, get_product
 from aeolia.sources.tables import read_product
 
-__all__ = ["open_product", "product_facts", "standardise"]
+__all__ = ["Standardised", "open_product", "open_product_observed", "product_facts", "standardise", "standardise_observed"]
+
+# What an observation of standardise holds beside the counts of each checked variable.
+ROWS, COPIES = "rows", "duplicate_rows_removed"
 
 
 def standardise(
@@ -46,7 +51,9 @@ def standardise(
 
     Units are taken from the arguments, else from column metadata, else from the values;
     stating them saves the scan that looks at the values.  Duplicates need ``ingest_seq``;
-    set ``deduplicate=False`` for a source known to be free of them.
+    set ``deduplicate=False`` for a source known to be free of them.  ``observation`` receives the
+    number of rows, of repeated rows left out and of values out of range, all of the subset and in
+    the pass that computes the result.
     """
     spec = get_product(spec)
     result = rename_to_canonical(df, spec.extra_aliases, keep_unknown)
@@ -55,8 +62,9 @@ def standardise(
     if deduplicate:
         if "ingest_seq" not in result.columns:
             raise ValueError("keep-first needs an 'ingest_seq' column, or deduplicate=False")
-        result = remove_duplicate_times(result)
+        result = remove_duplicate_times(result, copies=None if observation is None else "_copies")
 
+    whole = result
     kinds = {
         variable: kind for variable, kind in spec.accumulation.items()
         if kind != INSTANTANEOUS and find_variable(result, variable) is not None
@@ -79,7 +87,6 @@ def standardise(
     if precipitation is not None:
         result = convert_precipitation(result, precipitation, precipitation_unit)
 
-    whole = result
     result = subset_temporal(result, start, end)
     if domain is not None:
         result = subset_spatial(result, domain)
@@ -89,9 +96,52 @@ def standardise(
         )
 
     result = derive_wind_speeds(result)
+    more = {}
+    if observation is not None:
+        left_out = F.sum(F.col("_copies") - 1) if deduplicate else F.lit(0)
+        more = {ROWS: F.count("*"), COPIES: F.coalesce(left_out, F.lit(0)).cast("long")}
     if quality_control is not None:
-        result = apply_quality_control(result, action=quality_control, observation=observation)
-    return result
+        result = apply_quality_control(
+            result, action=quality_control, observation=observation, more=more
+        )
+    elif observation is not None:
+        result = result.observe(observation, *[value.alias(name) for name, value in more.items()])
+    return result.drop("_copies")
+
+
+class Standardised(NamedTuple):
+    """A standardised table, what is known of it from the start, and what its run counts."""
+
+    table: DataFrame
+    facts: dict
+    observation: Observation
+
+    def provenance(self, output: str) -> DataFrame:
+        """``(output, key, value_json)`` rows.  Waits for an action on ``table`` to end, and adds no scan."""
+        counts = self.observation.get
+        offending = {k: n for k, n in counts.items() if k not in (ROWS, COPIES) and n}
+        found = {**self.facts, ROWS: counts[ROWS], COPIES: counts[COPIES], "out_of_range": offending}
+        return provenance_rows(self.table.sparkSession, output, found)
+
+
+def standardise_observed(df: DataFrame, spec: ProductSpec | str, **choices) -> Standardised:
+    """:func:`standardise` with the renames, choices and limits it applied and the counts of its run."""
+    spec = get_product(spec)
+    observation = Observation()
+    table = standardise(df, spec, observation=observation, **choices)
+    action, domain = choices.get("quality_control", "mask"), choices.get("domain")
+    renamed = renames_for(df.columns, spec.extra_aliases)
+    here = [v for v in PHYSICAL_RANGES if find_variable(table, v) is not None]
+    facts = {
+        **product_facts(spec),
+        "renamed": renamed,
+        "accumulation": {v: k for v, k in spec.accumulation.items() if v in here},
+        "domain": None if domain is None else [domain.lon_min, domain.lon_max, domain.lat_min, domain.lat_max],
+        "period": [None if choices.get(end) is None else str(choices[end]) for end in ("start", "end")],
+        "quality_control": action,
+        "ranges": {v: list(PHYSICAL_RANGES[v]) for v in here} if action else {},
+    }
+    return Standardised(table, facts, observation)
 
 
 def product_facts(spec: ProductSpec | str) -> dict:
@@ -117,3 +167,13 @@ def open_product(
     spec = get_product(spec)
     raw = read_product(spark, paths, spec.key, format=format, schema=schema, options=options)
     return standardise(raw, spec, **choices)
+
+
+def open_product_observed(
+    spark: SparkSession, paths, spec: ProductSpec | str, *, format: str = "parquet", schema=None,
+    options: dict | None = None, **choices,
+) -> Standardised:
+    """As :func:`open_product`, with what :func:`standardise_observed` adds."""
+    spec = get_product(spec)
+    raw = read_product(spark, paths, spec.key, format=format, schema=schema, options=options)
+    return standardise_observed(raw, spec, **choices)

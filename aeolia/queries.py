@@ -541,18 +541,11 @@ def _(pairs):
     return both.groupBy("station_id").agg(F.count("*").alias("n"), F.avg("modelled").alias("mean_modelled"), F.avg("observed").alias("mean_observed"))
 
 
-@query("j6_population_nearest", "population targets", None, "population")
-def _(population, targets):
-    return exposure.aggregate_population_to_grid(population, targets, "nearest_normalised")
-
-
 @query("a15_threshold_catalogue", "w", " UNION ALL ".join(f"SELECT '{n}' AS class, {t}e0 AS threshold, count(*) FILTER (wind_speed_10m >= {t}e0) AS n FROM w" for n, t in (("high_wind", 10.0), ("strong_wind", 12.5), ("severe_storm", 15.0), ("extreme_storm", 17.5))), "threshold")
 def _(w):
     from aeolia.fixed_values import ALPINE_STORM_THRESHOLDS
 
-    classes = storms.threshold_table(w.sparkSession, ALPINE_STORM_THRESHOLDS)
-    counts = w.groupBy(F.floor("wind_speed_10m").alias("u"), "wind_speed_10m").agg(F.count("*").alias("k"))
-    return classes.join(counts, counts["wind_speed_10m"] >= classes["threshold"], "left").groupBy("class", "threshold").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    return storms.threshold_counts(w, "wind_speed_10m", ALPINE_STORM_THRESHOLDS)
 
 
 @query("s6_registry_facts", "events", "SELECT 'era5' AS product, 1.0e0 AS timestep_hours, count(*) AS n FROM events", "timestep_hours")

@@ -8,15 +8,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeolia.fixed_values import CELL, TIME
-from aeolia.functions.basics import nan_to_null
+from aeolia.fixed_values import CANONICAL_VARIABLES, CELL, TIME
+from aeolia.functions.basics import cell_key, nan_to_null
 
 __all__ = [
-    "combine", "read_paired_stations", "read_population", "read_product", "write_csv",
-    "write_product",
+    "BUCKETED_CELL", "combine", "read_paired_stations", "read_population", "read_product", "write_bucketed",
+    "write_csv", "write_product",
 ]
 
 
+#: The cell keys of a table that :func:`write_bucketed` made.
+BUCKETED_CELL = ("product", "cell_id", "latitude", "longitude")
+
+
 def read_product(
     spark: SparkSession, paths, product: str | None = None, *, format: str = "parquet",
     schema=None, options: dict | None = None,
@@ -132,6 +136,43 @@ def write_product(df: DataFrame, path: str, *, time: str = TIME, mode: str = "er
     )
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, *, buckets: int = 64, time: str = TIME) -> None:
+    """Write facts into a table at ``path``, by product and year, each in ``buckets`` of cells sorted by time.
+
+    Buckets go by ``cell_id``, an integer made of the coordinates, as Spark normalises doubles before
+    it groups by them and then no longer knows the buckets.  A window or aggregate over
+    ``BUCKETED_CELL`` and anything more, such as the blocks of :mod:`aeolia.operators.timeline`, finds
+    its rows together and needs no shuffle: give ``cell=BUCKETED_CELL`` to the operators.  The number of buckets is fixed when the table is made: all rows of a cell, over all years, are read by
+    one task, so take about one bucket for each task that the cluster runs at once.  Products and years
+    that ``df`` has are replaced, others stay.  All canonical variables are columns of the table.
+    """
+    dated = df.withColumn("year", F.year(time))
+    values = [
+        (F.col(v) if v in df.columns else F.lit(None)).cast("double").alias(v) for v in CANONICAL_VARIABLES
+    ]
+    place = [F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")]
+    rows = (
+        dated.withColumn("cell_id", cell_key(F.col("latitude"), F.col("longitude")))
+        .select("cell_id", *place, F.col(time).cast("timestamp_ntz").alias(TIME), *values, "product", "year")
+        .repartition(buckets, "cell_id")
+        .sortWithinPartitions("product", "year", "cell_id", TIME)
+    )
+    spark = df.sparkSession
+    if spark.catalog.tableExists(table):
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")  # insertInto reads it from the session only
+        try:
+            rows.write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(key, before)
+        return
+    (
+        rows.write.partitionBy("product", "year").bucketBy(buckets, "cell_id")
+        .sortBy("cell_id", TIME).option("path", path).saveAsTable(table)
+    )
+
+
 def write_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Write a small result table as CSV with a header."""
     df.write.mode(mode).option("header", True).csv(path)

@@ -1,6 +1,6 @@
 import pytest
 
-from aeolia.queries import ORACLES, QUERIES
+from aeolia.queries_plans import ORACLES, QUERIES
 from tests.comparing import of_duckdb, of_spark, tables
 
 FOLDER = "/root/testdata/sf0.001"

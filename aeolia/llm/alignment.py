@@ -22,15 +22,16 @@ row and its own count; a null id is an id like others. Other columns are ignored
 from __future__ import annotations
 
 import hashlib
+import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +58,7 @@ def _printable() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _tokenizers(a: str, b: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     first, second = Tokenizer.from_file(a), sentencepiece.SentencePieceProcessor(model_file=b)
     first.encode_special_tokens = True
     byte, size = _printable(), first.get_vocab_size()
@@ -68,7 +70,8 @@ def _tokenizers(a: str, b: str):
             raise ValueError(f"{b}: a piece crosses a white-space marker; texts can't be cut at spaces")
         fallback = _BYTE_PIECE.fullmatch(piece)
         bytes_b.append(bytes([int(fallback[1], 16)]) if fallback else piece.replace(MARKER, " ").encode())
-    return first, second, bytes_a, bytes_b
+    names = [f"{k}{sign}" for k in range(max(len(bytes_a), len(bytes_b))) for sign in ",|;\n"]
+    return first, second, bytes_a, bytes_b, *(np.array([len(x) for x in y], np.int64) for y in (bytes_a, bytes_b)), names
 
 
 def cut(text: str) -> list[str]:
@@ -79,104 +82,153 @@ def cut(text: str) -> list[str]:
     return [" " + x for x in text.split(" ")]
 
 
-def _refined(begins: list[int], ends: list[int], sizes: list[int]) -> list[int]:
-    """End of each token in bytes: the coarse end, or where neighbours' spans overlap or are empty, by the tokens' own bytes."""
-    out, at, k, n = [], 0, 0, len(ends)
-    while k < n:
-        j = k + 1
-        while j < n and (begins[j] < ends[j - 1] or begins[j] == ends[j]):
-            j += 1
-        if j == k + 1 and ends[k] - begins[k] == sizes[k]:
-            out.append(ends[k])
-        else:
-            out += [at + x for x in accumulate(sizes[k:j])]
-        at, k = out[-1], j
-    return out
-
-
-def ends_of(part: str, encoding, pieces, bytes_a: list[bytes], bytes_b: list[bytes]) -> tuple[list[int], list[int], list[int], list[int]] | None:
-    """(A ids, A ends, B ids, B ends) of one piece of text, in bytes; None if the tokens do not spell it."""
-    spelt = part.encode()
-    a, b = encoding.ids, [p.id for p in pieces]
-    if b"".join([bytes_a[i] for i in a]) != spelt or b"".join([bytes_b[i] for i in b]) != spelt:
-        return None
-    offsets = encoding.offsets
-    if len(spelt) != len(part):
-        byte = [0, *accumulate(len(c.encode()) for c in part)]
-        offsets = [(byte[x], byte[y]) for x, y in offsets]
-    ends_a = _refined([x for x, _ in offsets], [y for _, y in offsets], [len(bytes_a[i]) for i in a])
-    # B was given the text without its first space; its first piece begins with that space.
-    ends_b = _refined([p.begin + bool(k) for k, p in enumerate(pieces)], [p.end + 1 for p in pieces], [len(bytes_b[i]) for i in b])
-    return a, ends_a, b, ends_b
-
-
-def groups_of(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """A and B ids between the bytes where tokens of both end."""
-    out, i, j = [], 0, 0
-    shared = set(ends_a).intersection(ends_b)
-    while i < len(a):
-        x, y = i, j
-        while ends_a[x] not in shared:
-            x += 1
-        while ends_b[y] != ends_a[x]:
-            y += 1
-        # Tokens without bytes end where their group ends.
-        while x + 1 < len(a) and ends_a[x + 1] == ends_a[x]:
-            x += 1
-        while y + 1 < len(b) and ends_b[y + 1] == ends_b[y]:
-            y += 1
-        out.append((a[i : x + 1], b[j : y + 1]))
-        i, j = x + 1, y + 1
-    return out
+def _ends(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """End of each token in bytes: the coarse one where its span has the size of the token's bytes, else from the bytes."""
+    exact = np.cumsum(sizes)
+    return np.where((ends - begins == sizes) & (begins == exact - sizes), ends, exact)
+
+
+def _flat(lists: list, kind=np.int64) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), kind)
+
+
+def _spelt(parts: list[bytes], tokens: list[list[int]], spelling: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """For each piece of text whether its tokens' bytes spell it."""
+    owner = np.repeat(np.arange(len(parts)), [len(t) for t in tokens])
+    ids = _flat(tokens)
+    same = np.bincount(owner, sizes[ids], len(parts)) == [len(p) for p in parts]
+    if same.all() and b"".join([spelling[i] for i in ids.tolist()]) == b"".join(parts):
+        return same
+    return np.array([b"".join([spelling[i] for i in t]) == p for p, t in zip(parts, tokens, strict=True)], bool)
 
 
 class Pieces:
-    """piece of text -> (n_a, n_b, n_groups, n_links, groups as text, pairs, links of each pair); None if tokens don't spell it."""
+    """A table of pieces of text: their tokens, groups and links, filled for whole batches of new pieces.
+
+    For a piece's number: ``numbers`` (n_a, n_b, n_groups, n_links), ``texts`` (groups as text), ``spelt``, and from
+    ``at`` to the next in ``pairs`` its links, in ``times`` how often each of them.
+    """
+
+    #: Groups with more links are counted by distinct ids before they are multiplied out.
+    MOST_LINKS = 4096
 
     def __init__(self, a: str, b: str):
-        self.first, self.second, self.bytes_a, self.bytes_b = _tokenizers(a, b)
-        self.known: dict[str, tuple | None] = {}
+        self.first, self.second, self.bytes_a, self.bytes_b, self.sizes_a, self.sizes_b, self.names = _tokenizers(a, b)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.known: dict[str, int] = {}
         self.chars = 0
+        self.numbers, self.spelt, self.texts = np.zeros((0, 4), np.int64), np.zeros(0, bool), []
+        self.at, self.pairs, self.times = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, texts: list[list[str]]) -> None:
         if self.chars > MOST_CHARS:
-            self.known, self.chars = {}, 0
+            self._begin()
         new = [p for p in set().union(*texts) if p not in self.known]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            coarse = zip(some, self.first.encode_batch(some, add_special_tokens=False), self.second.encode([p[1:] for p in some], return_type="proto", num_threads=1), strict=True)
-            for p, encoding, proto in coarse:
-                self.known[p] = self._one(p, encoding, proto.pieces)
+        found = [self._some(new[at : at + 16_384]) for at in range(0, len(new), 16_384)]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.chars += sum(map(len, new))
-
-    def _one(self, part: str, encoding, pieces) -> tuple | None:
-        if part == " ":  # the model gives nothing for an empty text, though its space is a piece
-            pieces = [sentencepiece_space(self.second)]
-        found = ends_of(part, encoding, pieces, self.bytes_a, self.bytes_b)
-        if found is None:
-            return None
-        groups = groups_of(*found)
-        links: Counter = Counter()
-        for a, b in groups:
-            if len(a) == 1 == len(b):
-                links[a[0] * len(self.bytes_b) + b[0]] += 1
-            else:
-                own_b = Counter(b).items()
-                for x, p in Counter(a).items():
-                    for y, q in own_b:
-                        links[x * len(self.bytes_b) + y] += p * q
-        text = ";".join([",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups])
-        return len(found[0]), len(found[2]), len(groups), links.total(), text, tuple(links), tuple(links.values())
-
-
-class _Space:
-    def __init__(self, number: int):
-        self.id, self.begin, self.end = number, 0, 0
-
-
-@lru_cache(maxsize=2)
-def sentencepiece_space(made) -> _Space:
-    return _Space(made.piece_to_id(MARKER))
+        if found:
+            numbers, spelt, said, counts, pairs, times = zip(*found, strict=True)
+            self.numbers, self.spelt = np.concatenate([self.numbers, *numbers]), np.concatenate([self.spelt, *spelt])
+            self.texts += chain.from_iterable(said)
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
+            self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+
+    def _some(self, parts: list[str]) -> tuple:
+        encodings = self.first.encode_batch(parts, add_special_tokens=False)
+        protos = [p.pieces for p in self.second.encode([p[1:] for p in parts], return_type="proto", num_threads=1)]
+        raw = [p.encode() for p in parts]
+        a = [e.ids for e in encodings]
+        # The model gives nothing for an empty text, though the space before it is a piece.
+        space = [(self.second.piece_to_id(MARKER), 0, 0)]
+        spans_b = [[(p.id, p.begin, p.end) for p in pieces] or space for pieces in protos]
+        b = [[x[0] for x in spans] for spans in spans_b]
+        spelt = _spelt(raw, a, self.bytes_a, self.sizes_a) & _spelt(raw, b, self.bytes_b, self.sizes_b)
+        good = np.flatnonzero(spelt)
+        starts = np.cumsum([0, *[len(raw[k]) for k in good]])
+
+        # Coarse cuts of A are characters; bytes where characters start make them bytes.
+        data = np.frombuffer(b"".join([raw[k] for k in good]), np.uint8)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        n_a, n_b = np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64)
+        ids_a, ids_b = _flat([a[k] for k in good]), _flat([b[k] for k in good])
+        first_char = np.searchsorted(chars, starts[:-1])
+        spans = _flat([x for k in good for x in encodings[k].offsets]).reshape(-1, 2) + np.repeat(first_char, n_a)[:, None]
+        ends_a = _ends(chars[spans[:, 0]], chars[spans[:, 1]], self.sizes_a[ids_a])
+        # B was given the text without its first space, with which its first piece begins.
+        spans = _flat([x for k in good for x in spans_b[k]]).reshape(-1, 3) + np.repeat(starts[:-1], n_b)[:, None] + 1
+        begin_b = spans[:, 1].copy()
+        begin_b[np.cumsum(n_b) - n_b] -= 1
+        ends_b = _ends(begin_b, spans[:, 2], self.sizes_b[ids_b])
+
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
+        owner = np.searchsorted(starts, cuts) - 1  # the piece of text of each group
+        from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
+        links = in_a * in_b
+
+        plain = np.flatnonzero(links <= self.MOST_LINKS)
+        reach = np.repeat(plain, links[plain])
+        step = np.arange(len(reach)) - np.repeat(np.cumsum(links[plain]) - links[plain], links[plain])
+        pairs = ids_a[from_a[reach] + step // in_b[reach]] * len(self.bytes_b) + ids_b[from_b[reach] + step % in_b[reach]]
+        times, held = np.ones(len(pairs), np.int64), owner[reach]
+        for g in np.flatnonzero(links > self.MOST_LINKS):
+            (x, p), (y, q) = (np.unique(ids[at : at + n], return_counts=True) for ids, at, n in ((ids_a, from_a[g], in_a[g]), (ids_b, from_b[g], in_b[g])))
+            pairs, times = np.append(pairs, np.add.outer(x * len(self.bytes_b), y)), np.append(times, np.multiply.outer(p, q))
+            held = np.append(held, np.full(len(x) * len(y), owner[g]))
+        order = np.argsort(held, kind="stable")
+
+        numbers = np.zeros((len(parts), 4), np.int64)
+        numbers[good, 0], numbers[good, 1] = n_a, n_b
+        numbers[good, 2] = np.bincount(owner, minlength=len(good))
+        np.add.at(numbers[:, 3], good[owner], links)
+        counts = np.zeros(len(parts), np.int64)
+        counts[good] = np.bincount(held, minlength=len(good))
+        said = [""] * len(parts)
+        for k, text in zip(good.tolist(), self._texts(ids_a, ids_b, group_a, group_b, in_a, in_b, owner), strict=False):
+            said[k] = text
+        return numbers, spelt, said, counts, pairs[order], times[order]
+
+    def _texts(self, ids_a, ids_b, group_a, group_b, in_a, in_b, owner) -> list[str]:
+        """Groups of each piece of text, as a1,a2|b1;a3|b2."""
+        if not len(owner):
+            return []
+        before = np.cumsum(in_a + in_b) - in_a - in_b
+        last = np.append(owner[1:] != owner[:-1], True)
+        at_a = before[group_a] + np.arange(len(ids_a)) - (np.cumsum(in_a) - in_a)[group_a]
+        at_b = before[group_b] + in_a[group_b] + np.arange(len(ids_b)) - (np.cumsum(in_b) - in_b)[group_b]
+        sign = np.zeros(len(ids_a) + len(ids_b), np.int64)  # , | ; and the end of a piece of text
+        sign[before + in_a - 1] = 1
+        sign[before + in_a + in_b - 1] = np.where(last, 3, 2)
+        ids = np.empty(len(sign), np.int64)
+        ids[at_a], ids[at_b] = ids_a, ids_b
+        return "".join([self.names[k] for k in (ids * 4 + sign).tolist()]).split("\n")
+
+
+def _slices(batch: pa.RecordBatch, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``most`` bytes of text, at most 512."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 512]), most, side="right")))
+        yield batch.slice(at, n)
+        at += n
+
+
+def _summed(held: Pieces, whole: np.ndarray, doc: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pairs of each document and how often each is linked in it."""
+    counts = held.at[whole + 1] - held.at[whole]
+    at = np.repeat(held.at[whole] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    keys = (np.repeat(doc, counts) << 44) | held.pairs[at]
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    times = np.add.reduceat(held.times[at][order], first) if len(first) else np.zeros(0, np.int64)
+    ends = np.cumsum(np.bincount(keys[first] >> 44, minlength=n))
+    return pa.array(np.append(0, ends), pa.int32()), keys[first] & ((1 << 44) - 1), times
 
 
 _ROW = "row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, pairs array<long>, links array<long>"
@@ -193,36 +245,29 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", a:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, row = Pieces(a, b), TaskContext.get().partitionId() << 40
-        known = table_.known
+        held, row = Pieces(a, b), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in _slices(batch):
                 cuts = [cut(t) if t else [] for t in part.column(1).to_pylist()]
-                table_.add(cuts)
-                known, numbers, said, pairs, links = table_.known, [], [], [], []
-                for pieces in cuts:
-                    own = [known[p] for p in pieces]
-                    if not own or None in own:
-                        own = []
-                    numbers.append([sum([x[k] for x in own]) for k in range(4)])
-                    said.append(";".join([x[4] for x in own]))
-                    keys = np.fromiter(chain.from_iterable([x[5] for x in own]), np.int64)
-                    many = np.fromiter(chain.from_iterable([x[6] for x in own]), np.int64)
-                    order = np.argsort(keys, kind="stable")
-                    first = np.flatnonzero(np.diff(keys[order], prepend=-1))
-                    pairs.append(keys[order][first])
-                    links.append(np.add.reduceat(many[order], first) if len(first) else many)
-                ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
-                columns = [pa.array([x[k] for x in numbers], pa.int64()) for k in range(4)]
+                held.add(cuts)
+                own = [np.fromiter(map(held.known.__getitem__, c), np.int64, len(c)) for c in cuts]
+                own = [x if held.spelt[x].all() else x[:0] for x in own]
+                size = np.array([len(x) for x in own], np.int64)
+                whole, doc = np.concatenate(own), np.repeat(np.arange(len(own)), size)
+                numbers = np.zeros((len(own), 4), np.int64)
+                np.add.at(numbers, doc, held.numbers[whole])
+                said = [";".join([held.texts[k] for k in x.tolist()]) for x in own]
+                ends, pairs, links = _summed(held, whole, doc, len(own))
                 sha = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in said]
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (pairs, links)]
                 rows = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [rows, part.column(0), *columns, pa.array(sha, pa.string()), pa.array(said if texts else [None] * len(said), pa.string()), *lists],
+                    [
+                        rows, part.column(0), *(pa.array(numbers[:, k]) for k in range(4)), pa.array(sha, pa.string()),
+                        pa.array(said if texts else [None] * len(said), pa.string()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (pairs, links)),
+                    ],
                     names=["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups", "pairs", "links"],
-                )
+                )
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, _ROW.replace("row long, ", f"row long, id {kind}, "))
     return out.withColumnRenamed("id", id_col)

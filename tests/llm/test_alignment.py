@@ -80,8 +80,28 @@ def test_groups_are_given_as_text_and_tables_begin_anew(spark, monkeypatch):
         parts = alignment.cut("Straßen überqueren, 日本語!")
         made.add([parts])
         assert len(made.known) == len(set(parts))
-        text = ";".join(made.known[p][4] for p in parts)
+        text = ";".join(made.texts[made.known[p]] for p in parts)
         assert [bytes().join(made.bytes_a[int(i)] for g in text.split(";") for i in g.split("|")[0].split(",")).decode()] == [" Straßen überqueren, 日本語!"]
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     row = alignment.aligned(docs).first()
     assert hashlib.sha256(row["groups"].encode()).hexdigest() == row["groups_sha256"] and len(row["pairs"]) == len(row["links"]) == 2
+
+
+def test_large_groups_are_counted_by_distinct_ids(monkeypatch):
+    found = []
+    for most in (4096, 0):
+        monkeypatch.setattr(alignment.Pieces, "MOST_LINKS", most)
+        made = alignment.Pieces(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+        parts = [p for _, t in ODD if t for p in alignment.cut(t)]
+        made.add([parts])
+        links = []
+        for p in parts:
+            k = made.known[p]
+            at = slice(made.at[k], made.at[k + 1])
+            own = collections.Counter()
+            for pair, n in zip(made.pairs[at].tolist(), made.times[at].tolist(), strict=True):
+                own[pair] += n
+            assert own.total() == made.numbers[k][3]
+            links.append(own)
+        found.append(links)
+    assert found[0] == found[1]

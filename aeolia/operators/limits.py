@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-__all__ = ["exact_percentile", "pooled", "shared_limits", "symmetric_limits"]
+__all__ = ["exact_percentile", "order_statistics", "pooled", "shared_limits", "symmetric_limits"]
 
-# Rank error of the first guess, as a share of the rows: one over this.
-_ACCURACY = 20_000
+# Parts of a range that are counted at a time; the driver sees no more rows than this for each rank.
+_PARTS = 4096
 
 
 def pooled(fields: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -20,66 +20,55 @@ def pooled(fields: list[tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.union, parts).filter(F.abs("value") < float("inf"))
 
 
-def exact_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
-    """The exact percentile with linear interpolation, as a one-row table ``percentile``.
+def order_statistics(values: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The values at some ranks (from 0) of all values in order.  Runs a few small jobs.
 
-    Spark's exact ``percentile`` keeps every different value in one task.  Here a sketch
-    brackets the two ranks that matter, rows outside the bracket are only counted, and the
-    few inside are put in order.  Should the sketch ever miss, the bracket opens to the whole
-    range, so the result is exact either way.
+    Each job counts the values of a range in equal parts, with the least and largest of each part, and goes
+    on with the part that holds the rank until that part has one value.  No value is moved or
+    put in order, so neither many values nor many equal ones land in one task; a range shrinks by the number
+    of parts each time, so three or four jobs do for values that are spread evenly.
     """
-    share = percentile / 100.0
-    margin = 4.0 / _ACCURACY
     v = F.col(column)
-    guess = values.agg(
-        F.percentile_approx(
-            column, [max(share - margin, 0.0), min(share + margin, 1.0)], _ACCURACY
-        ).alias("_g"),
-        F.count(column).alias("_n"), F.min(column).alias("_min"), F.max(column).alias("_max"),
-    ).withColumns(
-        {
-            "_rank": (F.col("_n") - 1) * share,
-            "_lo": F.when(F.lit(share <= margin), F.col("_min")).otherwise(F.col("_g")[0]),
-            "_hi": F.when(F.lit(share >= 1 - margin), F.col("_max")).otherwise(F.col("_g")[1]),
-        }
-    )
-    g = guess.select(F.struct("_rank", "_lo", "_hi", "_min", "_max")).scalar()
-    checked = values.agg(
-        F.count_if(v < g["_lo"]).alias("_below"), F.count_if(v <= g["_hi"]).alias("_upto"),
-        F.first(g).alias("g"),
-    )
-    holds = (F.col("_below") <= F.floor(F.col("g._rank"))) & (
-        F.col("_upto") > F.ceil(F.col("g._rank"))
-    )
-    b = checked.select(
-        F.struct(
-            F.when(holds, F.col("g._lo")).otherwise(F.col("g._min")).alias("lo"),
-            F.when(holds, F.col("g._hi")).otherwise(F.col("g._max")).alias("hi"),
-            F.when(holds, F.col("_below")).otherwise(0).alias("below"),
-            F.col("g._rank").alias("rank"),
+    whole = values.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
+    brackets = {rank: (whole["low"], whole["high"], 0) for rank in ranks}
+    while True:
+        asked = sorted({b for b in brackets.values() if b[0] != b[1]})
+        if not asked:
+            return [brackets[rank][0] for rank in ranks]
+        which, part = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for k, (low, high, _) in enumerate(asked):
+            # Scaled down where the width of the range is no finite number.
+            scale = 1.0 if high - low < float("inf") else 0.25
+            place = (v * scale - low * scale) / (high * scale - low * scale) * _PARTS
+            inside = v.between(low, high)
+            which = F.when(inside, k).otherwise(which)
+            part = F.when(inside, F.least(F.floor(place), F.lit(_PARTS - 1)).cast("int")).otherwise(part)
+        parts = (
+            values.select(v.alias("v"), which.alias("which"), part.alias("part")).filter("which IS NOT NULL")
+            .groupBy("which", "part").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()
         )
-    ).scalar()
-    near = values.filter(v.between(b["lo"], b["hi"])).groupBy(v.alias("_v")).agg(
-        F.count("*").alias("_n"), F.first(b).alias("b")
-    )
-    up_to = F.sum("_n").over(
-        Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
-    )
-    ranked = near.withColumn("_last", F.col("b.below") + up_to - 1)
-    first = F.col("_last") - F.col("_n") + 1
-    lower_rank, upper_rank = F.floor(F.col("b.rank")), F.ceil(F.col("b.rank"))
+        for rank, bracket in brackets.items():
+            if bracket[0] == bracket[1]:
+                continue
+            before = bracket[2]
+            for row in sorted((r for r in parts if r["which"] == asked.index(bracket)), key=lambda r: r["part"]):
+                if rank < before + row["n"]:
+                    brackets[rank] = (row["low"], row["high"], before)
+                    break
+                before += row["n"]
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first <= rank) & (rank <= F.col("_last")), F.col("_v")))
 
-    ends = ranked.agg(
-        at(lower_rank).alias("lower"), at(upper_rank).alias("upper"),
-        F.max(F.col("b.rank") - lower_rank).alias("part"),
-    )
-    value = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
-    return ends.select(value.alias("percentile"))
+def exact_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
+    """The exact percentile with linear interpolation, as a one-row table ``percentile``; NULL of no values."""
+    n = values.agg(F.count(column)).first()[0]
+    result = None
+    if n:
+        rank = (n - 1) * (percentile / 100.0)
+        low, high = math.floor(rank), math.ceil(rank)
+        lower, upper = order_statistics(values.filter(F.col(column).isNotNull()), column, [low, high])
+        result = lower + (upper - lower) * (rank - low)
+    return values.sparkSession.range(1).select(F.lit(result).cast("double").alias("percentile"))
 
 
 def _top(values: DataFrame, percentile: float | None) -> Column:

@@ -129,12 +129,6 @@ def _(w):
     return w.withColumn("x", verification.lapse_rate_adjustment(F.col("temperature_2m"), F.col("latitude")))
 
 
-@query("p15_fixed_tilt_capacity_factor", "w", None, "mean_value max_value")
-def _(w):
-    x = solar.fixed_tilt_capacity_factor(w, "solar_radiation", "temperature_2m", "wind_speed_10m", output="x")
-    return _per_cell(x, F.avg("x").alias("mean_value"), F.max("x").alias("max_value"), F.count("x").alias("n"))
-
-
 @query("p16_snow_rain_partition", "w", f"""
 SELECT {CELLS}, sum(precipitation * f) AS snowfall, sum(precipitation - precipitation * f) AS rainfall, avg(f) AS snow_fraction
 FROM (SELECT *, least(greatest((2 - temperature_2m) / 2.0e0, 0), 1) AS f FROM w) GROUP BY {CELLS}""", "snowfall rainfall snow_fraction")

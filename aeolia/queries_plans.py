@@ -5,12 +5,15 @@ Queries that write use a new folder under ``spark.checkpoint.dir`` each time.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aeolia import streaming
 from aeolia.fixed_values import ALPINE_STORM_THRESHOLDS
 from aeolia.fixtures import view
+from aeolia.functions import solar
 from aeolia.operators import cleaning, events, exposure, naming
 from aeolia.operators.runs import run_totals
 from aeolia.plans import jobs, standardise
@@ -168,6 +171,52 @@ def _(population, targets):
     return exposure.aggregate_population_to_grid(population, targets, "nearest_normalised")
 
 
+# --- the solar chain ------------------------------------------------------------------------------------
+def _series(angle: str, terms: tuple) -> str:
+    waves = [f"{a:.17e} * {'cos' if k % 2 == 0 else 'sin'}({k // 2 + 1} * {angle})" for k, a in enumerate(terms[1:])]
+    return f"({' + '.join([f'{terms[0]:.17e}', *waves])})"
+
+
+def _solar(altitude: str, system: solar.PVSystem) -> str:
+    """The chain from irradiance to capacity factor in SQL, step by step."""
+    tilt, turn = math.radians(system.tilt_deg), math.radians(system.azimuth_deg - 180)
+    a0, a1, a2, a3, a4 = solar.ERBS_SERIES
+    return f"""
+, p1 AS (SELECT *, greatest(solar_radiation, 0.0e0) AS g, hour(time) + minute(time) / 60.0e0 + second(time) / 3600.0e0 AS h FROM w),
+p2 AS (SELECT *, 2 * pi() / 365 * (dayofyear(time) - 1 + (h - 12) / 24.0e0) AS d, radians(latitude) AS phi FROM p1),
+p3 AS (SELECT *, {_series('d', solar.DECLINATION_SERIES)} AS decl, {solar.SOLAR_CONSTANT} * {_series('d', solar.ECCENTRICITY_SERIES)} AS top,
+  (h + longitude / 15 - 12) * pi() / 12 + {_series('d', solar.EQUATION_OF_TIME_SERIES)} AS angle FROM p2),
+p4 AS (SELECT *, least(greatest(sin(phi) * sin(decl) + cos(phi) * cos(decl) * cos(angle), -1), 1) AS s,
+  (cos(decl) * cos(angle) * sin(phi) - sin(decl) * cos(phi)) * {math.sin(tilt) * math.cos(turn)!r} + cos(decl) * sin(angle) * {math.sin(tilt) * math.sin(turn)!r} AS ground FROM p3),
+p5 AS (SELECT *, degrees(asin(s)) AS e, {solar.SEA_LEVEL_HPA} * pow(1 - {altitude} * {solar.PRESSURE_LAPSE!r}, {solar.PRESSURE_EXPONENT}) AS hpa FROM p4),
+p6 AS (SELECT *, radians(e + CASE WHEN e >= {solar.LOWEST_REFRACTED_DEG} THEN hpa / 1010 * 283 / 285.0e0 * 1.02e0 / (60 * tan(radians(e + 10.3e0 / (e + 5.11e0)))) ELSE 0 END) AS up FROM p5),
+p7 AS (SELECT *, sin(up) AS z, sin(up) * {math.cos(tilt)!r} + ground * cos(up) / sqrt(1 - s * s) AS facing, least(g / (top * greatest(sin(up), {solar.LOWEST_COS_ZENITH})), 1) AS kt FROM p6),
+p8 AS (SELECT *, z > cos(radians({solar.LARGEST_ZENITH_DEG})) AS high, CASE WHEN kt <= {solar.ERBS_LOW} THEN 1 - 0.09e0 * kt WHEN kt <= {solar.ERBS_HIGH}
+  THEN {a0} + {a1} * kt + {a2} * kt * kt + {a3} * kt * kt * kt + {a4} * kt * kt * kt * kt ELSE {solar.ERBS_CLEAR} END AS share FROM p7),
+p9 AS (SELECT *, CASE WHEN high THEN (g - g * share) / z * greatest(facing, 0) ELSE 0 END + CASE WHEN high THEN g * share ELSE g END * {(1 + math.cos(tilt)) / 2!r}
+  + g * {solar.GROUND_ALBEDO * (1 - math.cos(tilt)) / 2!r} AS poa FROM p8),
+p10 AS (SELECT *, poa / 1000 * (1 + {system.gamma_pdc} * (temperature_2m + poa / ({system.u0} + {system.u1} * wind_speed_10m) - 25)) AS cf FROM p9)
+SELECT product, latitude, longitude, avg(least(greatest(cf, 0), 1)) AS mean_value, max(least(greatest(cf, 0), 1)) AS max_value, count(cf) AS n FROM p10 WHERE cf IS NOT NULL GROUP BY product, latitude, longitude"""
+
+
+def _capacity(w: DataFrame, **options) -> DataFrame:
+    x = solar.fixed_tilt_capacity_factor(w, "solar_radiation", "temperature_2m", "wind_speed_10m", output="x", **options)
+    return _per_cell(x, F.avg("x").alias("mean_value"), F.max("x").alias("max_value"), F.count("x").alias("n"))
+
+
+_WEST = solar.PVSystem("west", tilt_deg=45.0, azimuth_deg=250.0)
+
+
+@query("p15_fixed_tilt_capacity_factor", "w", _solar("0", solar.REFERENCE_PV_SYSTEM), "mean_value max_value")
+def _(w):
+    return _capacity(w)
+
+
+@query("p15_fixed_tilt_by_altitude", "w", _solar("((latitude - 43) * 900)", _WEST), "mean_value max_value")
+def _(w):
+    return _capacity(w.withColumn("height", (F.col("latitude") - 43) * 900), altitude="height", system=_WEST)
+
+
 # --- stations -------------------------------------------------------------------------------------------
 _MERGED = {"temperature": ("t_obs", "t_mod"), "wind_speed": ("w_obs", "w_mod")}
 _STACKED = """

@@ -179,3 +179,42 @@ def test_nearest_population_takes_the_lower_neighbour_at_a_tie(spark):
     # Sampled: 0 (tie to the lower row), 21, nobody twice (outside), 0; rescaled to all 63 people.
     assert got == {(0.5, 0.0): 0.0, (1.75, 1.0): 63.0, (2.5, 0.0): 0.0, (-1.0, 1.0): 0.0, (0.0, 0.5): 0.0}
     assert "moves people" in out.schema["population"].metadata["warning"]
+
+
+@pytest.mark.parametrize("kind", ["normal", "steps", "constant", "tails", "huge", "tiny", "two"])
+def test_order_statistics_are_exact(spark, kind):
+    rng = np.random.default_rng(7)
+    values = {
+        "normal": rng.normal(size=5001), "steps": rng.integers(0, 5, 4000).astype(float), "constant": np.full(300, -2.5), "tails": np.exp(rng.normal(0, 60, 3000)) * rng.choice([-1, 1], 3000),
+        "huge": np.array([-1.7e308, 1.7e308, 0.0, 1.0, 5e-324]), "tiny": np.arange(50) * 5e-324, "two": np.array([1.0, np.nextafter(1.0, 2.0)]),
+    }[kind]
+    table = spark.createDataFrame([(float(v),) for v in values], "value double").repartition(3)
+    ordered, ranks = np.sort(values), sorted({0, len(values) // 2, int(len(values) * 0.99), len(values) - 1})
+    assert limits.order_statistics(table, "value", ranks) == [ordered[r] for r in ranks]
+    if kind in ("normal", "steps", "constant"):
+        got = limits.exact_percentile(table, "value", 99.0).first()[0]
+        assert got == pytest.approx(np.percentile(values, 99), abs=1e-12)
+
+
+def test_limits_of_nothing_are_an_error(spark):
+    nothing = spark.createDataFrame([(float("nan"),), (None,), (float("inf"),)], "value double")
+    with pytest.raises(Exception, match="no finite values"):
+        limits.shared_limits([(nothing, "value")]).collect()
+    same = spark.createDataFrame([(2.0,), (2.0,)], "value double")
+    assert tuple(limits.shared_limits([(same, "value")]).first()) == (2.0, 3.0)
+
+
+def test_sun_is_lifted_less_where_air_is_thin(spark):
+    from aeolia.functions import solar
+
+    rows = [(T0 + timedelta(minutes=10 * k), 46.0, 8.0, 100.0, float(h)) for k in range(144) for h in (0, 4000)]
+    table = spark.createDataFrame(rows, "time timestamp_ntz, latitude double, longitude double, solar_radiation double, height double")
+    got = solar.fixed_tilt_capacity_factor(table, altitude="height", keep_stages=True)
+    low, high = (got.where(f"height = {h}").orderBy("time").collect() for h in (0, 4000))
+    lifts = [(a._pv_apparent - np.radians(a._pv_elevation), b._pv_apparent - np.radians(b._pv_elevation)) for a, b in zip(low, high)]
+    assert max(x for x, _ in lifts) < np.radians(0.7) and all(0 <= y <= x for x, y in lifts)
+    near = min(low, key=lambda r: abs(r._pv_elevation))
+    assert 0.3 < np.degrees(near._pv_apparent) - near._pv_elevation < 0.65
+    assert all(0 <= r.solar_capacity_factor <= 1 for r in low + high)
+    with pytest.raises(ValueError, match="height"):
+        solar.fixed_tilt_capacity_factor(table.drop("height"), altitude="height")

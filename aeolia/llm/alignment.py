@@ -5,9 +5,10 @@ puts that space in front by itself. Where tokens of both end at one byte, a grou
 of a group are linked. The libraries give coarse cuts: A character offsets, B byte spans. Tokens
 that share a character, and byte-fallback tokens, are cut further by the lengths of their decoded bytes.
 
-Both vocabularies keep a word and the space before it apart from what follows, so a text is cut before each
-space that does not follow white space, and each distinct piece of text is encoded once in a table of a task and
-joined back by position. A table holds ``MOST_CHARS`` characters and then begins anew.
+No token of either vocabulary crosses from a character that is no white space to a space, or to a line break with a
+character after it, so a text is cut there, and each distinct piece of text is encoded once in a table of a task and
+joined back by position. New pieces are put together into longer texts for the libraries, which the same
+places cut apart again. A table holds ``MOST_CHARS`` characters and then begins anew.
 
 Links are counted over the corpus by documents. The most frequent pairs (at most ``MOST_FREQUENT``) are
 broadcast to the documents' rows, all others are joined to them. Of an A id the highest count
@@ -42,10 +43,12 @@ from aeolia.llm.pieces import MARKER, MODEL
 from aeolia.llm.tables import most_frequent, shared_folder, table, written
 
 BYTE_MODEL = "byte_bpe_50k.json"
-MOST_CHARS = 8_000_000
+MOST_CHARS = 5_000_000
 MOST_FREQUENT = 500_000
-_CUT = re.compile(r"(?<=\S)(?= )")
-_NEEDS_CUT = re.compile(r"\s ")
+#: Pieces that are put together for one call.
+TOGETHER = 128
+_CUT = re.compile(r"(?<=\S)(?= |\n\S)")
+_NEEDS_CUT = re.compile(r"\s |\n")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -66,8 +69,8 @@ def _tokenizers(a: str, b: str):
     bytes_b = []
     for i in range(second.get_piece_size()):
         piece = second.id_to_piece(i)
-        if MARKER in piece.lstrip(MARKER):
-            raise ValueError(f"{b}: a piece crosses a white-space marker; texts can't be cut at spaces")
+        if MARKER in piece.lstrip(MARKER) or "\n" in piece:
+            raise ValueError(f"{b}: a piece crosses a white-space marker or a line; texts can't be cut there")
         fallback = _BYTE_PIECE.fullmatch(piece)
         bytes_b.append(bytes([int(fallback[1], 16)]) if fallback else piece.replace(MARKER, " ").encode())
     names = [f"{k}{sign}" for k in range(max(len(bytes_a), len(bytes_b))) for sign in ",|;\n"]
@@ -75,7 +78,7 @@ def _tokenizers(a: str, b: str):
 
 
 def cut(text: str) -> list[str]:
-    """A space and the text, cut before each space that does not follow white space."""
+    """A space and the text, cut where no token crosses."""
     whole = " " + text
     if _NEEDS_CUT.search(whole):
         return _CUT.split(whole)
@@ -126,39 +129,55 @@ class Pieces:
         if self.chars > MOST_CHARS:
             self._begin()
         new = [p for p in set().union(*texts) if p not in self.known]
-        found = [self._some(new[at : at + 16_384]) for at in range(0, len(new), 16_384)]
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        # What ends in white space would grow together with what follows; U+2581 is never spelt.
+        alone = [[p] for p in new if p[-1].isspace() or MARKER in p]
+        others = [p for p in new if not p[-1].isspace() and MARKER not in p]
+        groups = [others[at : at + TOGETHER] for at in range(0, len(others), TOGETHER)] + alone
+        found = []
+        while groups:
+            some, groups = groups[:256], groups[256:]
+            done, again = self._some(some)
+            found.append(done)
+            groups += [[p] for g in again for p in g]
         self.chars += sum(map(len, new))
         if found:
-            numbers, spelt, said, counts, pairs, times = zip(*found, strict=True)
+            parts, numbers, spelt, said, counts, pairs, times = zip(*found, strict=True)
+            self.known.update((p, k) for k, p in enumerate(chain.from_iterable(parts), len(self.spelt)))
             self.numbers, self.spelt = np.concatenate([self.numbers, *numbers]), np.concatenate([self.spelt, *spelt])
             self.texts += chain.from_iterable(said)
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.concatenate(counts))])
             self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
 
-    def _some(self, parts: list[str]) -> tuple:
-        encodings = self.first.encode_batch(parts, add_special_tokens=False)
-        protos = [p.pieces for p in self.second.encode([p[1:] for p in parts], return_type="proto", num_threads=1)]
-        raw = [p.encode() for p in parts]
+    def _some(self, groups: list[list[str]]) -> tuple[tuple, list[list[str]]]:
+        """(pieces and all that the table holds of them), and the groups to try again piece by piece."""
+        # B puts a space before its text itself, so that a group has to begin with one.
+        groups = [g if g[0][0] == " " else [" x", *g] for g in groups]
+        texts = ["".join(g) for g in groups]
+        encodings = self.first.encode_batch(texts, add_special_tokens=False)
+        protos = self.second.encode([t[1:] for t in texts], return_type="proto", num_threads=1)
+        raw = [t.encode() for t in texts]
         a = [e.ids for e in encodings]
         # The model gives nothing for an empty text, though the space before it is a piece.
         space = [(self.second.piece_to_id(MARKER), 0, 0)]
-        spans_b = [[(p.id, p.begin, p.end) for p in pieces] or space for pieces in protos]
+        spans_b = [[(p.id, p.begin, p.end) for p in x.pieces] or space for x in protos]
         b = [[x[0] for x in spans] for spans in spans_b]
-        spelt = _spelt(raw, a, self.bytes_a, self.sizes_a) & _spelt(raw, b, self.bytes_b, self.sizes_b)
-        good = np.flatnonzero(spelt)
-        starts = np.cumsum([0, *[len(raw[k]) for k in good]])
-
-        # Coarse cuts of A are characters; bytes where characters start make them bytes.
+        whole = _spelt(raw, a, self.bytes_a, self.sizes_a) & _spelt(raw, b, self.bytes_b, self.sizes_b)
+        good = np.flatnonzero(whole).tolist()
+        again = [g for g, ok in zip(groups, whole, strict=True) if not ok and len(g) > 1]
+        unspelt = [g[0] for g, ok in zip(groups, whole, strict=True) if not ok and len(g) == 1]
+        parts = [p for k in good for p in groups[k]]
+        at_text = np.cumsum([0, *[len(raw[k]) for k in good]])
+        starts = np.cumsum([0, *[len(p) if p.isascii() else len(p.encode()) for p in parts]])
+
+        # Coarse cuts of A are characters; the bytes where characters start make them bytes.
         data = np.frombuffer(b"".join([raw[k] for k in good]), np.uint8)
         chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         n_a, n_b = np.array([len(a[k]) for k in good], np.int64), np.array([len(b[k]) for k in good], np.int64)
         ids_a, ids_b = _flat([a[k] for k in good]), _flat([b[k] for k in good])
-        first_char = np.searchsorted(chars, starts[:-1])
-        spans = _flat([x for k in good for x in encodings[k].offsets]).reshape(-1, 2) + np.repeat(first_char, n_a)[:, None]
+        spans = _flat([x for k in good for x in encodings[k].offsets]).reshape(-1, 2) + np.repeat(np.searchsorted(chars, at_text[:-1]), n_a)[:, None]
         ends_a = _ends(chars[spans[:, 0]], chars[spans[:, 1]], self.sizes_a[ids_a])
         # B was given the text without its first space, with which its first piece begins.
-        spans = _flat([x for k in good for x in spans_b[k]]).reshape(-1, 3) + np.repeat(starts[:-1], n_b)[:, None] + 1
+        spans = _flat([x for k in good for x in spans_b[k]]).reshape(-1, 3) + np.repeat(at_text[:-1], n_b)[:, None] + 1
         begin_b = spans[:, 1].copy()
         begin_b[np.cumsum(n_b) - n_b] -= 1
         ends_b = _ends(begin_b, spans[:, 2], self.sizes_b[ids_b])
@@ -166,7 +185,7 @@ class Pieces:
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         in_a, in_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
-        owner = np.searchsorted(starts, cuts) - 1  # the piece of text of each group
+        owner = np.searchsorted(starts, cuts) - 1  # the piece of each group: all pieces end in a cut
         from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
         links = in_a * in_b
 
@@ -181,16 +200,15 @@ class Pieces:
             held = np.append(held, np.full(len(x) * len(y), owner[g]))
         order = np.argsort(held, kind="stable")
 
-        numbers = np.zeros((len(parts), 4), np.int64)
-        numbers[good, 0], numbers[good, 1] = n_a, n_b
-        numbers[good, 2] = np.bincount(owner, minlength=len(good))
-        np.add.at(numbers[:, 3], good[owner], links)
-        counts = np.zeros(len(parts), np.int64)
-        counts[good] = np.bincount(held, minlength=len(good))
-        said = [""] * len(parts)
-        for k, text in zip(good.tolist(), self._texts(ids_a, ids_b, group_a, group_b, in_a, in_b, owner), strict=False):
-            said[k] = text
-        return numbers, spelt, said, counts, pairs[order], times[order]
+        numbers = np.zeros((len(parts) + len(unspelt), 4), np.int64)
+        n = len(parts)
+        for k, ends in enumerate((ends_a, ends_b, cuts)):
+            numbers[:n, k] = np.bincount(np.searchsorted(starts, ends) - 1, minlength=n)
+        np.add.at(numbers[:, 3], owner, links)
+        counts = np.append(np.bincount(held, minlength=n), np.zeros(len(unspelt), np.int64))
+        said = self._texts(ids_a, ids_b, group_a, group_b, in_a, in_b, owner)[:n] + [""] * len(unspelt)
+        spelt = np.arange(n + len(unspelt)) < n
+        return (parts + unspelt, numbers, spelt, said, counts, pairs[order], times[order]), again
 
     def _texts(self, ids_a, ids_b, group_a, group_b, in_a, in_b, owner) -> list[str]:
         """Groups of each piece of text, as a1,a2|b1;a3|b2."""

@@ -9,6 +9,10 @@ of equal words over the longest aligned stretch reaches ``least_share``.
 Null and empty texts, and items without words, match nothing. A test item shorter than the
 shortest mask is compared as one window of all its words. Repeated rows are reported each
 under their own id; of several diagonals of one pair the best is kept, on ties the first.
+Of items that repeat an id the text that sorts first counts.
+Texts and items of few words repeated many times hit each other nearly everywhere: beyond ``MOST_PAIRS`` hits the
+diagonals of a text are found seed by seed, as differences of two sets of places, so that memory grows with
+the lengths of the texts and not with their product.
 An empty side gives an empty result. Columns other than id and text are ignored.
 
 The test side goes to every task only if it has at most ``MOST_WINDOWS`` windows, a count
@@ -32,6 +36,8 @@ MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9), (0, 3, 4, 6
 LEAST_WORDS = 8
 LEAST_SHARE = 0.8
 MOST_WINDOWS = 2_000_000
+#: Hits of a slice of texts, or of one text, that are listed one by one.
+MOST_PAIRS = 4_000_000
 _BITS = 22
 
 
@@ -51,14 +57,66 @@ class TestSide:
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[self.seed >> np.uint64(64 - _BITS)] = True
 
-    def hits(self, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of training words and of test words whose windows hash alike."""
+    def hits(self, seed: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of training words whose windows hash like test windows, with the first and number of those."""
         few = np.flatnonzero(self.maybe[seed >> np.uint64(64 - _BITS)])
         seed, at = seed[few], at[few]
-        low, high = np.searchsorted(self.seed, seed, "left"), np.searchsorted(self.seed, seed, "right")
-        n = high - low
-        many = np.repeat(np.arange(len(n)), n)
-        return at[many], self.at[low[many] + np.arange(len(many)) - np.repeat(np.cumsum(n) - n, n)]
+        low = np.searchsorted(self.seed, seed, "left")
+        n = np.searchsorted(self.seed, seed, "right") - low
+        met = n > 0
+        return at[met], low[met], n[met]
+
+    def diagonals(self, w: Words, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, place where the item's first word would lie), in order, for hits of :meth:`hits`."""
+        texts = w.row[at]
+        size = np.bincount(texts, n, len(w.offsets)).astype(np.int64)
+        found = []
+        # Texts in runs that list at most MOST_PAIRS hits, or one text that has more.
+        order = np.argsort(texts, kind="stable")
+        at, low, n, texts = at[order], low[order], n[order], texts[order]
+        begin = 0
+        while begin < len(at):
+            total = np.cumsum(size[texts[begin] :])
+            last = texts[begin] + max(1, int(np.searchsorted(total, MOST_PAIRS, "right")))
+            end = int(np.searchsorted(texts, last))
+            part = slice(begin, end)
+            if n[part].sum() <= MOST_PAIRS:
+                many = np.repeat(np.arange(begin, end), n[part])
+                t = self.at[low[many] + np.arange(len(many)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])]
+                item = self.row[t]
+                found.append(np.unique(np.stack([texts[many], item, at[many] - (t - self.first[item])]), axis=1))
+            else:
+                found.append(self._dense(int(texts[begin]), w, at[part], low[part], n[part]))
+            begin = end
+        return np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+
+    def _dense(self, text: int, w: Words, at: np.ndarray, low: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The same of one text: differences of the places of each seed in the text and in each item."""
+        start = int(w.first[text])
+        length = int(w.first[text + 1]) - start
+        held: dict[int, np.ndarray] = {}
+        order = np.argsort(low, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(low[order])) + 1):
+            here = np.unique(at[own] - start)
+            there = np.sort(self.at[low[own[0]] : low[own[0]] + n[own[0]]])
+            for t in np.split(there, np.flatnonzero(np.diff(self.row[there])) + 1):
+                item = int(self.row[t[0]])
+                t = t - self.first[item]
+                m = int(self.size[item])
+                marks = held.setdefault(item, np.zeros(length + m, bool))  # diagonal p at p + m
+                if len(here) * len(t) <= 16 * (length + m):
+                    marks[(here[:, None] - t[None, :]).ravel() + m] = True
+                else:
+                    a, b = np.zeros(length), np.zeros(m + 1)
+                    a[here], b[m - t] = 1, 1
+                    k = 1 << (length + m + 1).bit_length()
+                    both = np.fft.irfft(np.fft.rfft(a, k) * np.fft.rfft(b, k), k)[: length + m]
+                    marks |= both > 0.5
+        rows = []
+        for item in sorted(held):
+            p = np.flatnonzero(held[item]) - int(self.size[item]) + start
+            rows.append(np.stack([np.full(len(p), text), np.full(len(p), item), p]))
+        return np.concatenate(rows, axis=1)
 
 
 def seeds(h, row, size, mask, k) -> tuple[np.ndarray, np.ndarray]:
@@ -77,20 +135,21 @@ def longest(n: np.ndarray, least_share: float) -> np.ndarray:
     level = k - least_share * n
     lowest = np.minimum.accumulate(level)
     begin = np.searchsorted(-lowest, -(level + 1 - least_share) - 1e-9)
-    j = min(k.tolist(), key=lambda j: (begin[j] - j, n[j] - n[begin[j]], j))
+    most = np.flatnonzero(k - begin == (k - begin).max())
+    j = int(most[np.argmin(n[most] - n[begin[most]])])
     return n[begin[j] : j + 1]
 
 
-def verified(test: TestSide, w: Words, h: np.ndarray, d_at: np.ndarray, t_at: np.ndarray, least_words: int, least_share: float) -> dict:
-    """Best diagonal of each (text, item) whose aligned words agree often enough."""
-    item, doc = test.row[t_at], w.row[d_at]
-    # A diagonal by the place where the item's first word would lie in the text.
-    place = d_at - (t_at - test.first[item])
-    keys = np.unique(np.stack([doc, item, place]), axis=1)
+def verified(test: TestSide, w: Words, h: np.ndarray, keys: np.ndarray, least_words: int, least_share: float) -> dict:
+    """Best diagonal of each (text, item) whose aligned words agree often enough; ``keys`` are in order."""
     first = w.first
     best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
     for d, i, p in keys.T.tolist():
+        if (d, i) in best and best[d, i][0] == test.size[i]:
+            continue  # all words of the item: no later diagonal is better
         low, high = max(p, int(first[d])), min(p + int(test.size[i]), int(first[d + 1]))
+        if high - low < min(least_words, int(test.size[i])):
+            continue
         t = int(test.first[i]) + low - p
         equal = h[low:high] == test.h[t : t + high - low]
         # Stretch of most equal words that starts and ends on one and keeps the share.
@@ -120,7 +179,8 @@ def test_side(tests: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(h)) - w.first[w.row]), pa.array(h.view(np.int64))], names=["item_id", "k", "h"])
 
     kind = tests.schema[id_col].dataType.simpleString()
-    return tests.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, f"item_id {kind}, k long, h long")
+    named = tests.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    return named.groupBy("i").agg(F.min("t").alias("t")).mapInArrow(run, f"item_id {kind}, k long, h long")
 
 
 def contained(
@@ -164,19 +224,17 @@ def _search(side, masks, least_words, least_share):
         for batch in batches:
             for at, to, w in slices(batch.column(1)) if test is not None else ():
                 h = w.hashes()
-                d_at, t_at = [], []
-                for k, m in enumerate(masks):
-                    a, b = test.hits(*seeds(h, w.row, None, m, k))
-                    d_at.append(a), t_at.append(b)
+                met = [test.hits(*seeds(h, w.row, None, m, k)) for k, m in enumerate(masks)]
+                keys = [test.diagonals(w, *(np.concatenate(x) for x in zip(*met, strict=True)))]
                 for n, s, starts in whole:
                     mine, ok = windows(h, w.row, list(range(n)))
                     for x in starts.tolist():
                         a = ok[mine == np.uint64(s[x])]
-                        d_at.append(a), t_at.append(np.full(len(a), x))
-                d_at, t_at = np.concatenate(d_at), np.concatenate(t_at)
-                if not len(d_at):
+                        keys.append(np.stack([w.row[a], np.full(len(a), test.row[x]), a]))
+                keys = np.unique(np.concatenate(keys, axis=1), axis=1)
+                if not keys.shape[1]:
                     continue
-                best = verified(test, w, h, d_at, t_at, least_words, least_share)
+                best = verified(test, w, h, keys, least_words, least_share)
                 if best:
                     rows = [(d, i, *v) for (d, i), v in best.items()]
                     ids = batch.column(0).slice(at, to - at).take(pa.array([r[0] for r in rows]))

@@ -44,6 +44,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 DIGITS = {"card": (16, 19), "phone": (8, 15)}
 WINDOW, LEAST_SCORE = 40, 0.5
+#: Matches whose places are added up at a time.
+BLOCK = 256
 START = {"iban": 0.6, "ssn": 0.35, "local": 0.3}
 # Words near a span that speak for its kind, and against any.
 CONTEXT = {
@@ -88,22 +90,38 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(kind: str) -> Column:
-    """Array of (start, end, found) of a kind's matches: pieces between matches give the places."""
+_SPANS = "array<struct<start:long,end:long,found:string>>"
+
+
+def _matches(kind: str) -> Column:
+    """Array of (piece, found): a kind's matches, each with the text between it and the one before."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
-    array = "array<struct<start:long,end:long,found:string>>"
-    pieces = F.split("t", pattern, -1)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(None).cast(array).alias("spans"))
+    return F.zip_with(F.slice(F.split("t", pattern, -1), 1, F.size(found)), found, lambda p, f: F.struct(p.alias("piece"), f.alias("found")))
+
+
+def _spans(matches: str) -> Column:
+    """Array of (start, end, found) of a column of matches.
+
+    Lengths are added up within blocks and then over blocks, since an array that grows by one entry at a time is copied
+    for each of them.
+    """
+    zero, none = F.lit(0).cast("long").alias("at"), F.array().cast(_SPANS)
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["piece"])
         end = begin + F.length(x["found"])
         one = F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.array_append(F.coalesce(acc["spans"], F.array().cast(array)), one).alias("spans"))
+        return F.struct(end.alias("at"), F.array_append(acc["spans"], one).alias("spans"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((acc["at"] + s["start"]).alias("start"), (acc["at"] + s["end"]).alias("end"), s["found"].alias("found")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.array_append(acc["spans"], moved).alias("spans"))
 
-    zipped = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, f: F.struct(p.alias("piece"), f.alias("found")))
-    return F.coalesce(F.aggregate(zipped, start, step)["spans"], F.array().cast(array))
+    starts = F.sequence(F.lit(1), F.size(matches), F.lit(BLOCK))
+    blocks = F.transform(starts, lambda k: F.aggregate(F.slice(matches, k, F.lit(BLOCK)), F.struct(zero, none.alias("spans")), step))
+    whole = F.aggregate(blocks, F.struct(zero, F.array().cast(f"array<{_SPANS}>").alias("spans")), joined)
+    return F.when(F.size(matches) > 0, F.flatten(whole["spans"])).otherwise(none)
 
 
 def _scored(kind: str, x: Column) -> Column:
@@ -130,10 +148,12 @@ def _listed(kind: str, spans: Column, base: bool) -> Column:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): array of (kind, start, end, score), by kind as in KINDS and then by start."""
     df = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    none = F.array().cast("array<struct<start:long,end:long,found:string>>")
+    none = F.array().cast("array<struct<piece:string,found:string>>")
     # One pass tells which texts have digits at all; the patterns run on those only.
     digit = F.col("t").rlike("[0-9]")
-    df = df.withColumns({k: F.when(F.contains("t", F.lit(NEEDS[k])) if k in NEEDS else digit, _spans(k)).otherwise(none) for k in KINDS})
+    may = {k: F.contains("t", F.lit(x)) for k, x in NEEDS.items()} | {"iban": F.col("t").rlike("[A-Z]{2}[0-9]{2}")}
+    df = df.withColumns({k: F.when(may.get(k, digit), _matches(k)).otherwise(none) for k in KINDS})
+    df = df.withColumns({k: _spans(k) for k in KINDS})
     df = df.withColumns({k: _confirmed(k) for k in KINDS})
     base = KINDS[:4]
     taken = F.concat(*base)

@@ -92,23 +92,29 @@ def references(found: DataFrame) -> DataFrame:
     return out.select("ref_lang", F.array(*(f"classes{i}" for i in range(len(CLASSES)))).alias("ref_classes"), F.array(*(f"common{i}" for i in range(SLOTS))).alias("ref_common"))
 
 
-def distance(a: str, b: str) -> Column:
-    """Jensen-Shannon distance of two histograms of counts; null if either is empty."""
-    total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
+def histogram_total(c: str) -> Column:
+    return F.aggregate(F.col(c), F.lit(0.0), lambda s, x: s + x)
+
+
+def distance(a: str, b: str, total_a: str, total_b: str) -> Column:
+    """Jensen-Shannon distance of two histograms of counts, whose totals are columns; null if either is empty."""
     part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).otherwise(F.lit(0.0))
 
     def term(x: Column, y: Column) -> Column:
-        p, q = F.coalesce(x, F.lit(0)) / total(a), F.coalesce(y, F.lit(0)) / total(b)
+        p, q = F.coalesce(x, F.lit(0)) / F.col(total_a), F.coalesce(y, F.lit(0)) / F.col(total_b)
         return part(p, (p + q) / 2) + part(q, (p + q) / 2)
 
     sums = F.aggregate(F.zip_with(a, b, term), F.lit(0.0), lambda s, x: s + x)
-    return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
+    return F.when((F.col(total_a) > 0) & (F.col(total_b) > 0), F.sqrt(F.greatest(F.lit(0.0), sums / 2)))
 
 
 def judged(found: DataFrame, refs: DataFrame) -> DataFrame:
     """``found`` with js_classes, js_common and kept. There are as many references as languages."""
     q = found.select("_row", "_q.*").join(refs, F.col("lang") == F.col("ref_lang"), "left")
-    q = q.withColumns({"js_classes": distance("classes", "ref_classes"), "js_common": distance("common", "ref_common")})
+    kinds = ("classes", "common")
+    # Once for each row, not for each entry of the histograms.
+    q = q.withColumns({f"total_{c}": histogram_total(c) for k in kinds for c in (k, f"ref_{k}")})
+    q = q.withColumns({f"js_{k}": distance(k, f"ref_{k}", f"total_{k}", f"total_ref_{k}") for k in kinds})
     far = (F.col("n_chars_") >= MIN_CHARS) & (F.col("js_classes") > MOST_CLASS_DISTANCE)
     far_words = (F.col("n_words") >= MIN_COMMON) & (F.col("js_common") > MOST_WORD_DISTANCE)
     return q.withColumn("kept", ~(F.col("base_failed") | F.coalesce(far, F.lit(False)) | F.coalesce(far_words, F.lit(False))))

@@ -61,7 +61,7 @@ def test_quality_counts(rows, texts, nothing):
 
 def test_quality_distance(spark):
     df = spark.createDataFrame([([1, 3], [2, 2]), ([1, 0], [0, 1]), ([0, 0], [1, 1])], "a array<long>, b array<long>")
-    got = [r[0] for r in df.select(quality.distance("a", "b")).collect()]
+    got = [r[0] for r in df.withColumns({"x": quality.histogram_total("a"), "y": quality.histogram_total("b")}).select(quality.distance("a", "b", "x", "y")).collect()]
     p, q = (0.25, 0.75), (0.5, 0.5)
     js = sum(0.5 * x * math.log2(2 * x / (x + y)) + 0.5 * y * math.log2(2 * y / (x + y)) for x, y in zip(p, q))
     assert got[0] == pytest.approx(math.sqrt(js)) and got[1] == pytest.approx(1.0) and got[2] is None

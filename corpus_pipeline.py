@@ -8,6 +8,8 @@ id can't be grouped and pass the stages that compare texts. An empty table stays
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,22 @@ from aeolia.llm.near import jaccard_components
 from aeolia.llm.pieces import encode
 from aeolia.llm.quality import keep_good
 from aeolia.llm.secrets import redact, train
-from aeolia.llm.tables import shared_folder, table, written
+from aeolia.llm.tables import dropped, shared_folder, table, written
+
+
+_used = threading.local()
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for the tables that a stage writes on its way.
+
+    A stage gets its predecessor's rows as written, so what the predecessors of this thread's run needed on
+    their way is removed here.
+    """
+    for path in getattr(_used, "folders", []):
+        dropped(spark, path)
+    _used.folders = [shared_folder(spark)]
+    return _used.folders[0]
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -26,17 +43,18 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are near their language's references."""
-    return keep_good(docs)
+    return keep_good(docs, _folder(spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies (five words, 0.8)."""
-    found = jaccard_components(docs, k=5, percent=80)
+    found = jaccard_components(docs, k=5, percent=80, folder=_folder(spark))
     return _without(docs, found.where(F.col("component_id") != F.col("doc_id")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark passage."""
+    _folder(spark)
     return _without(docs, contained(docs, table(spark, sf_dir, "benchmark")))
 
 

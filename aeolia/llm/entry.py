@@ -12,9 +12,10 @@ from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
 from aeolia.llm.search import OP12_SQL, op12_search
 from aeolia.llm.secrets import op8_secrets
+from aeolia.llm.stretches import OP7_STRETCHES_SQL, op7_stretches
 from aeolia.llm.toxicity import op2_toxicity
 from aeolia.llm.url_rules import OP11_SQL, op11_urls
-from aeolia.llm.units import OP7_ALL_SQL, OP7_SQL, op7_all_lines, op7_units
+from aeolia.llm.units import OP7_ALL_SQL, op7_all_lines
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -23,8 +24,8 @@ QUERIES = {
     "op4_personal": op4_personal,
     "op5_maxent": op5_maxent,
     "op6_near": op6_near,
+    "op7_stretches": op7_stretches,
     "op7_all_lines": op7_all_lines,
-    "op7_units": op7_units,
     "op8_secrets": op8_secrets,
     "op9_pieces": op9_pieces,
     "op10_licences": op10_licences,
@@ -33,8 +34,8 @@ QUERIES = {
     "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
+    "op7_stretches": OP7_STRETCHES_SQL,
     "op7_all_lines": OP7_ALL_SQL,
-    "op7_units": OP7_SQL,
     "op10_licences": OP10_SQL,
     "op11_urls": OP11_SQL,
     "op12_search": OP12_SQL,

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from aeolia.llm.tables import table
 
-LEAST_WORDS = 10
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 _LOWER = {k: k + 32 for k in range(65, 91)}
 
@@ -57,7 +56,7 @@ def occurrences(docs: DataFrame, id_col: str, text_col: str, unit: str, least_wo
     return named.mapInArrow(run, f"u binary, d {kind}, k long, start long, end long")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "\n", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "\n", least_words: int = 1) -> DataFrame:
     """(id, unit, start, end, kept_id, kept_start): every unit that goes, and the one that stays."""
     rows = occurrences(docs, id_col, text_col, unit, least_words)
     # Counted and ranked in parts before the shuffle, so that a common line costs a row for each task.
@@ -71,11 +70,7 @@ def op7_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(table(spark, sf_dir, "documents"), least_words=1)
 
 
-def op7_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
-
-
-OP7_SQL = f"""
+OP7_ALL_SQL = """
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit
   FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
@@ -84,10 +79,9 @@ placed AS (
     CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
     trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS plain
   FROM lines),
-counted AS (SELECT *, start + n AS "end" FROM placed WHERE plain <> '' AND length(plain) - length(replace(plain, ' ', '')) + 1 >= {LEAST_WORDS}),
+counted AS (SELECT *, start + n AS "end" FROM placed WHERE plain <> ''),
 ranked AS (
   SELECT *, first_value(doc_id) OVER w AS kept_id, first_value(start) OVER w AS kept_start, row_number() OVER w AS r
   FROM counted WINDOW w AS (PARTITION BY plain ORDER BY doc_id, unit))
 SELECT doc_id, unit, start, "end", kept_id, kept_start FROM ranked WHERE r > 1
 """
-OP7_ALL_SQL = OP7_SQL.replace(f">= {LEAST_WORDS})", ">= 1)")

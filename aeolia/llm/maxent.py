@@ -3,15 +3,16 @@
 A token's probability is that of its class given the words before, times that of the word in
 its class. Both factors are softmax models over hashed features: the last word, the last two
 together, and skip features of the second and third last. The most frequent tokens are words
-of their own, as many as the power 4/9 of the number of training tokens, in as many classes as
+of their own, as many as four times the cube root of the number of training tokens, in as many classes as
 each has words; all others fall in classes by their last bytes, half as many, within which
-smoothed counts over the whole corpus give the word's share. As context they stand in buckets
-by hash, as many as there are words. All sizes grow with the corpus (``Sizes.of``). The
+smoothed counts over the whole corpus give the word's share, and which stand for them as context. All
+sizes grow with the corpus (``Sizes.of``), the work for a token with its sixth root. The
 probabilities of all words, known or not, sum to 1.
 
 Counts cover all training texts. Weights are trained in ``ROUNDS`` rounds, each over its own
 part of the training texts and all rounds together over every one: each task takes gradient
-steps from the round's weights, and the tasks' weights are averaged by their number of tokens.
+steps from the round's weights, and the tasks' weights are averaged by their number of tokens. Which texts share a
+task depends on how the input is stored, and so do the last digits of the scores.
 
 A null text is empty: its one token is the end. Repeated rows get equal scores, rows without
 id too. With no training texts every token has the share of an unknown one. Columns other
@@ -47,12 +48,11 @@ LOG10 = math.log(10)
 
 @dataclass(frozen=True)
 class Sizes:
-    """Classes of words, words in each, classes of all other tokens, buckets of those as context, of pairs and of inner features."""
+    """Classes of words, words in each, classes of all other tokens, buckets of pairs and of inner features."""
 
     word_classes: int = WORD_CLASSES
     class_size: int = CLASS_SIZE
     rest_classes: int = REST_CLASSES
-    buckets: int = REST_CLASSES
     pairs: int = PAIRS
     inner: int = INNER
 
@@ -66,14 +66,14 @@ class Sizes:
 
     @property
     def contexts(self) -> int:
-        return self.vocabulary + self.buckets + 1
+        return self.vocabulary + self.rest_classes + 1
 
     @staticmethod
     def of(total: int) -> Sizes:
         """From the number of training tokens, at least what the module's constants say."""
-        side = max(CLASS_SIZE, math.ceil(total ** (2 / 9)))
+        side = max(CLASS_SIZE, math.ceil(2 * total ** (1 / 6)))
         words = side * side
-        return Sizes(side, side, side // 2, words, max(PAIRS, 2 * words), max(INNER, 2 * words))
+        return Sizes(side, side, side // 2, max(PAIRS, 2 * words), max(INNER, 2 * words))
 
 
 @dataclass
@@ -122,10 +122,9 @@ def looked_up(h: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
     return np.where(hit, known.count[p], -1)[back], np.where(hit, known.place[p], -1)[back]
 
 
-def features(place: np.ndarray, rest: np.ndarray, row: np.ndarray, sizes: Sizes = Sizes(), h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, outer features (n, 4), inner features (n, 2)) of each token; without hashes its class is its bucket."""
-    bucket = rest if h is None else ((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(sizes.buckets)).astype(np.int64)
-    c = np.where(place >= 0, place, sizes.vocabulary + bucket)
+def features(place: np.ndarray, rest: np.ndarray, row: np.ndarray, sizes: Sizes = Sizes()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, outer features (n, 4), inner features (n, 2)) of each token."""
+    c = np.where(place >= 0, place, sizes.vocabulary + rest)
     past = []
     for k in (1, 2, 3):
         x = np.full(len(c), sizes.contexts - 1)
@@ -197,11 +196,13 @@ def train_batch(w: Weights, seen: tuple[np.ndarray, np.ndarray], cls, place, out
                 _step(w.inner, seen[1], i[:, j], g)
 
 
-def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+def _averaged(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The mean of some tasks' changes by their number of tokens, as half-precision numbers."""
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["v"])
+        total = sum(np.frombuffer(x, np.float16).astype(np.float64) * n for x, n in zip(pdf["v"], pdf["n"], strict=True))
         out = pdf.iloc[:1].copy()
-        out["v"], out["n"] = [total.astype(np.float32).tobytes()], [pdf["n"].sum()]
+        out["v"], out["n"] = [(total / pdf["n"].sum()).astype(np.float16).tobytes()], [pdf["n"].sum()]
         return out
 
     return parts.groupBy(*keys).applyInPandas(add, "block int, lane int, n long, v binary")
@@ -209,8 +210,10 @@ def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def trained(docs: DataFrame, w: Weights, known, sizes: Sizes, total: int) -> Weights:
     """The average of the weights that each task reaches from ``w`` on its texts, ``total`` tokens in all."""
-    # A task yields all weights, so each has texts of an eighth as many tokens at least.
+    # A task yields all weights, so each has texts of an eighth as many tokens at least; first about the
+    # square root of their number is averaged at a time.
     tasks = max(1, 8 * total // (w.outer.size + w.inner.size))
+    lanes = math.isqrt(tasks)
     spark = docs.sparkSession
     start = spark.sparkContext.broadcast(w)
 
@@ -221,21 +224,21 @@ def trained(docs: DataFrame, w: Weights, known, sizes: Sizes, total: int) -> Wei
         for batch in batches:
             for _, row, h, rest in tokens(batch.column(0)):
                 _, place = looked_up(h, known.value)
-                cls, outer, inner = features(place, rest % sizes.rest_classes, row, sizes, h)
+                cls, outer, inner = features(place, rest % sizes.rest_classes, row, sizes)
                 train_batch(own, seen, cls, place, outer, inner)
                 n += len(h)
         if n:
-            # Differences to the start, weighted by tokens; the sums are taken in lanes of tasks.
-            flat = np.concatenate([(own.outer - b.outer).ravel(), (own.inner - b.inner).ravel()]) * np.float32(n)
-            lane = int(np.bitwise_xor.reduce(np.frombuffer(flat.tobytes()[:4096], np.uint32)) % 32)
+            # Differences to the start, which are small; the means are taken in lanes of tasks.
+            flat = np.concatenate([(own.outer - b.outer).ravel(), (own.inner - b.inner).ravel()]).astype(np.float16)
+            lane = int(np.bitwise_xor.reduce(np.frombuffer(flat.tobytes()[:4096], np.uint32)) % lanes)
             for k, x in enumerate(np.array_split(flat, BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["block", "lane", "n", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lane], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["block", "lane", "n", "v"])
 
     parts = docs.coalesce(tasks).mapInArrow(run, "block int, lane int, n long, v binary")
-    rows = sorted(_summed(_summed(parts, ["block", "lane"]), ["block"]).collect(), key=lambda r: r.block)  # BLOCKS rows
+    rows = sorted(_averaged(_averaged(parts, ["block", "lane"]), ["block"]).collect(), key=lambda r: r.block)  # BLOCKS rows
     if not rows:
         return w
-    flat = np.concatenate([np.frombuffer(bytes(r.v), np.float32) for r in rows]) / np.float32(rows[0].n)
+    flat = np.concatenate([np.frombuffer(bytes(r.v), np.float16) for r in rows]).astype(np.float32)
     cut = w.outer.size
     return Weights(w.outer + flat[:cut].reshape(w.outer.shape), w.inner + flat[cut:].reshape(w.inner.shape), w.outer_bias, w.inner_bias)
 
@@ -273,7 +276,7 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                 n = int(row[-1]) + 1 if len(row) else 0
                 count, place = looked_up(hashes, known.value)
                 rest = rest % sizes.rest_classes
-                cls, outer, inner = features(place, rest, row, sizes, hashes)
+                cls, outer, inner = features(place, rest, row, sizes)
                 logs = np.concatenate([log_probability(weights.value, *(x[a : a + 65536] for x in (cls, place, outer, inner))) for a in range(0, len(cls), 65536)]) / LOG10
                 logs -= np.where(place < 0, rest_total[rest], 0)
                 found = count >= 0

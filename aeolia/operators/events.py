@@ -34,7 +34,9 @@ from aeolia.fixed_values import (
 )
 from aeolia.functions.basics import holds
 from aeolia.operators.daily import daily
-from aeolia.operators.runs import event_statistics, min_steps, run_totals, sustained, sustained_rows
+from aeolia.operators.runs import (
+    event_statistics, min_steps, run_totals, statistic_columns, sustained, sustained_rows,
+)
 from aeolia.operators.storms import ramp_magnitude
 from aeolia.operators.timeline import BLOCK_HOURS, cell_columns, step_hours
 
@@ -62,19 +64,32 @@ def _episodes(
         df.withColumn("shortfall", holds(shortfall)), F.col("shortfall"), "dunkelflaute",
         min_duration_hours, timestep_hours=dt, **place,
     )
-    stats = event_statistics(
-        df, shortfall, min_duration_hours=min_duration_hours, timestep_hours=dt, **place
-    )
-    if temperature is not None:
-        # Cold is asked of the episode's steps, so a cold spell may be shorter than an episode.
-        cold = F.col(temperature) < cold_threshold
-        mask = mask.withColumn("cold_dunkelflaute", F.col("dunkelflaute") & holds(cold))
-        inside = sustained_rows(df, shortfall, min_duration_hours, timestep_hours=dt, **place)
-        record = df.groupBy(*keys).agg(F.count("*").alias("record_steps"))
-        cold_stats = event_statistics(
-            inside, cold, timestep_hours=dt, prefix="cold_", record=record, **place
+    if temperature is None:
+        stats = event_statistics(
+            df, shortfall, min_duration_hours=min_duration_hours, timestep_hours=dt, **place
         )
-        stats = stats.join(cold_stats, keys)
+        return Events(mask, stats)
+
+    # Cold is asked of the episode's steps, so a cold spell may be shorter than an episode.
+    cold = holds(F.col(temperature) < cold_threshold)
+    mask = mask.withColumn("cold_dunkelflaute", F.col("dunkelflaute") & cold)
+    # The steps of episodes are found once; all of them, and the cold ones, are runs of two kinds.
+    inside = sustained_rows(df, shortfall, min_duration_hours, timestep_hours=dt, **place)
+    kinds = F.explode(F.array_compact(F.array(F.lit("all"), F.when(cold, "cold")))).alias("_kind")
+    totals = run_totals(
+        inside.select(*keys, time, kinds), F.lit(True), timestep_hours=dt, cell=(*keys, "_kind"),
+        time=time, block_hours=block_hours,
+    )
+    wide = totals.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_kind") == kind, F.col(name))).alias(f"{kind}_{name}")
+        for kind in ("all", "cold") for name in ("runs", "steps", "longest")
+    ])
+    record = df.groupBy(*keys).agg(F.count("*").alias("record_steps"))
+    joined = record.join(wide, keys, "left") if keys else record.join(wide, how="left")
+    stats = joined.select(
+        *keys, *statistic_columns("all_runs", "all_steps", "all_longest", dt),
+        *statistic_columns("cold_runs", "cold_steps", "cold_longest", dt, "cold_"),
+    )
     return Events(mask, stats)
 
 

@@ -17,7 +17,7 @@ from aeolia.operators.timeline import (
     BLOCK_HOURS, block_seconds, cell_columns, own_block, step_hours, with_halo,
 )
 
-__all__ = ["event_statistics", "min_steps", "run_totals", "sustained", "sustained_rows"]
+__all__ = ["event_statistics", "min_steps", "run_totals", "statistic_columns", "sustained", "sustained_rows"]
 
 
 def min_steps(min_duration_hours: float, timestep_hours: float) -> int:
@@ -167,11 +167,15 @@ def finish_statistics(
 ) -> DataFrame:
     """Join run totals to the record lengths; cells without runs get zeros."""
     joined = record.join(totals, keys, "left") if keys else record.join(totals, how="left")
-    count, on = F.coalesce(F.col(runs), F.lit(0)), F.coalesce(F.col(steps), F.lit(0))
-    return joined.select(
-        *keys,
+    return joined.select(*keys, *statistic_columns(runs, steps, "longest", dt, prefix))
+
+
+def statistic_columns(runs: str, steps: str, longest: str, dt: float, prefix: str = "") -> list[Column]:
+    """The statistics of a row of run totals that has ``record_steps``; missing totals are zeros."""
+    count, on, most = (F.coalesce(F.col(c), F.lit(0)) for c in (runs, steps, longest))
+    return [
         count.cast("bigint").alias(f"{prefix}event_count"),
         (on * dt).alias(f"{prefix}total_hours"),
         (on / F.col("record_steps")).alias(f"{prefix}frequency"),
-        (F.coalesce(F.col("longest"), F.lit(0)) * dt).alias(f"{prefix}longest_event_hours"),
-    )
+        (most * dt).alias(f"{prefix}longest_event_hours"),
+    ]

@@ -218,3 +218,23 @@ def test_sun_is_lifted_less_where_air_is_thin(spark):
     assert all(0 <= r.solar_capacity_factor <= 1 for r in low + high)
     with pytest.raises(ValueError, match="height"):
         solar.fixed_tilt_capacity_factor(table.drop("height"), altitude="height")
+
+
+def test_cold_statistics_of_one_pass(spark):
+    """Episodes and their cold spells in one job, whose rows are shuffled once for the episodes."""
+    from aeolia.operators import events
+
+    low = [0.01] * 60 + [0.5] * 10 + [0.01] * 40 + [0.5] + [0.01] * 50
+    cold = [k % 20 < 5 or k > 120 for k in range(len(low))]
+    rows = [("a", 46.0, 8.0, T0 + timedelta(hours=k), w, 0.0, -1.0 if c else (None if k == 3 else 4.0)) for k, (w, c) in enumerate(zip(low, cold))]
+    table = spark.createDataFrame(rows, "product string, latitude double, longitude double, time timestamp_ntz, wind_capacity_factor double, solar_capacity_factor double, t double")
+    table = table.unionByName(table.where("hour(time) < 3").withColumn("product", F.lit("none")))
+    found = events.detect(table, temperature="t", timestep_hours=1.0)
+    got = {r.product: r.asDict() for r in found.stats.collect()}
+    plain = {r.product: r.asDict() for r in events.detect(table, timestep_hours=1.0).stats.collect()}
+    assert all(got[p][k] == v for p in plain for k, v in plain[p].items()) and got["a"]["event_count"] == 2
+    inside = [k for k in range(len(low)) if k < 60 or k > 110]
+    spells = [k for k in inside if cold[k] and not (k - 1 in inside and cold[k - 1])]
+    assert (got["a"]["cold_event_count"], got["a"]["cold_total_hours"]) == (len(spells), float(sum(cold[k] for k in inside)))
+    assert got["a"]["cold_longest_event_hours"] == 41.0 and got["none"]["cold_event_count"] == 0 and got["none"]["frequency"] == 0
+    assert found.mask.where("cold_dunkelflaute").count() == got["a"]["cold_total_hours"]

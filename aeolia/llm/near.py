@@ -17,7 +17,8 @@
    apart drops out before the join where its rare tokens come first.
 
 The result has every document with its set's size and the smallest id in its component. A
-text without words has an empty set and links with nothing. Rows without id are left out;
+text without words has an empty set and links with nothing. Rows without id are returned with
+their set's size, linked with nothing and without a component;
 rows that repeat an id are told apart by text only through their class, so that each gets the
 component of the id. Columns other than id and text are ignored.
 """
@@ -317,7 +318,8 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
     """(id, n_shingles, component_id); sets of k words link at a Jaccard similarity of percent / 100."""
     spark = docs.sparkSession
     folder = folder or shared_folder(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).where(F.col("d").isNotNull())
+    whole = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t"))
+    docs = whole.where(F.col("d").isNotNull())
     classes = written(_classes(docs, k), folder, "classes")
     # A set of no tokens links with nothing: it is a class for each id.
     key = ["n", "a", "b", F.when(F.col("n") == 0, F.col("d")).alias("e")]
@@ -387,7 +389,9 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
 
     named = rep.join(parts, rep["r"] == parts["d"], "left").select("n", "a", "b", F.coalesce("c", "r").alias("c"))
     out = classes.join(named, ["n", "a", "b"], "left")
-    return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("c", "d").alias("component_id"))
+    unnamed = _classes(whole.where(F.col("d").isNull()), k).select("d", "n", F.lit(None).cast("long").alias("c"))
+    out = out.select("d", "n", F.coalesce("c", "d").alias("c")).unionByName(unnamed)
+    return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
 
 
 def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or under /tmp where that is unset, as in tests."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/aeolia-shared"
+    """A new folder under spark.checkpoint.dir.
+
+    Where that is unset, a session of one process, as in tests, gets one under /tmp; on a cluster it is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/aeolia-shared"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-__all__ = ["VIEWS", "portable", "view"]
+__all__ = ["VIEWS", "portable", "view", "write_views"]
 
 _WX = """
 SELECT 'synthetic' AS product, lat.time, lat.u AS cell_id,
@@ -80,8 +80,20 @@ SELECT 'series' AS product, 46.0e0 AS latitude, 8.0e0 AS longitude, CAST(CAST(l_
 }
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def write_views(spark: SparkSession, sf_dir: str, folder: str, *names: str) -> None:
+    """Write views of a folder's tables once; from then on :func:`view` reads them in this process."""
+    for name in names:
+        view(spark, sf_dir, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        _written[sf_dir, name] = f"{folder}/{name}"
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of a view over the tables in a folder; a given table's own rows by its name."""
+    if (sf_dir, name) in _written:
+        return spark.read.parquet(_written[sf_dir, name])
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     tables, text = VIEWS[name]

@@ -137,6 +137,21 @@ def _(ev):
     return out.withColumn("hours", F.col("n") * F.col("timestep_hours"))
 
 
+_KINDS = ", ".join(f"({k}, '{p}', {'NULL' if not a else repr(a)}, {h})" for k, (p, a, h) in enumerate((
+    ("aifs", "running", "NULL"), ("ara", "running", "3.0e0"), ("cerra", "period", "NULL"), ("climate_dt", "period", "NULL"), ("era5", "period", "NULL"),
+    ("era5_land", "running", "24.0e0"), ("extremes_dt", "period", "NULL"), ("ifs", "running", "NULL"))))
+
+
+@query("s6_registry_by_product", "events", f"""
+SELECT product, kind, reset_hours, count(*) AS n, sum(value) AS total FROM (VALUES {_KINDS}) AS l(k, product, kind, reset_hours) JOIN events ON user_id % 8 = k GROUP BY product, kind, reset_hours""", "reset_hours total")
+def _(ev):
+    """Each row with what its own product says of a variable."""
+    table = registry.registry_table(ev.sparkSession).select("product", F.col("accumulation")["solar_radiation"].alias("kind"), "reset_hours")
+    keys = F.array(*[F.lit(k) for k in sorted(registry.PRODUCTS)])
+    rows = ev.select(F.get(keys, (F.col("user_id") % 8).cast("int")).alias("product"), "value")
+    return rows.join(F.broadcast(table), "product").groupBy("product", "kind", "reset_hours").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query("s5_population_source", "population", """
 SELECT latitude, longitude, count(*) AS n, sum(CASE WHEN c_custkey % 11 = 0 THEN 0 ELSE population END) AS population
 FROM population WHERE longitude BETWEEN 4.12e0 AND 9.02e0 AND latitude BETWEEN 43.52e0 AND 47.02e0 GROUP BY latitude, longitude""", "population")

@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 __all__ = ["exact_percentile", "order_statistics", "pooled", "shared_limits", "symmetric_limits"]
 
 # Parts of a range that are counted at a time; the driver sees no more rows than this for each rank.
-_PARTS = 4096
+_PARTS = 16_384
 
 
 def pooled(fields: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -20,17 +20,26 @@ def pooled(fields: list[tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.union, parts).filter(F.abs("value") < float("inf"))
 
 
-def order_statistics(values: DataFrame, column: str, ranks: list[int]) -> list[float]:
+def _spread(values: DataFrame, column: str) -> tuple[int, float | None, float | None]:
+    """How many values there are, the least and the largest."""
+    row = values.agg(F.count(column).alias("n"), F.min(column).alias("low"), F.max(column).alias("high")).first()
+    return row["n"], row["low"], row["high"]
+
+
+def order_statistics(
+    values: DataFrame, column: str, ranks: list[int], span: tuple[float, float] | None = None
+) -> list[float]:
     """The values at some ranks (from 0) of all values in order.  Runs a few small jobs.
 
     Each job counts the values of a range in equal parts, with the least and largest of each part, and goes
     on with the part that holds the rank until that part has one value.  No value is moved or
     put in order, so neither many values nor many equal ones land in one task; a range shrinks by the number
-    of parts each time, so three or four jobs do for values that are spread evenly.
+    of parts each time, so two or three jobs do for values that are spread evenly.  ``span``, the least and
+    the largest value, saves a job where they are known.
     """
     v = F.col(column)
-    whole = values.agg(F.min(v).alias("low"), F.max(v).alias("high")).first()
-    brackets = {rank: (whole["low"], whole["high"], 0) for rank in ranks}
+    low, high = span or _spread(values, column)[1:]
+    brackets = {rank: (low, high, 0) for rank in ranks}
     while True:
         asked = sorted({b for b in brackets.values() if b[0] != b[1]})
         if not asked:
@@ -59,27 +68,30 @@ def order_statistics(values: DataFrame, column: str, ranks: list[int]) -> list[f
                 before += row["n"]
 
 
+def _percentile(values: DataFrame, column: str, percentile: float, n: int, low: float, high: float) -> float:
+    rank = (n - 1) * (percentile / 100.0)
+    below, above = math.floor(rank), math.ceil(rank)
+    lower, upper = order_statistics(values.filter(F.col(column).isNotNull()), column, [below, above], (low, high))
+    return lower + (upper - lower) * (rank - below)
+
+
 def exact_percentile(values: DataFrame, column: str, percentile: float) -> DataFrame:
     """The exact percentile with linear interpolation, as a one-row table ``percentile``; NULL of no values."""
-    n = values.agg(F.count(column)).first()[0]
-    result = None
-    if n:
-        rank = (n - 1) * (percentile / 100.0)
-        low, high = math.floor(rank), math.ceil(rank)
-        lower, upper = order_statistics(values.filter(F.col(column).isNotNull()), column, [low, high])
-        result = lower + (upper - lower) * (rank - low)
+    n, low, high = _spread(values, column)
+    result = _percentile(values, column, percentile, n, low, high) if n else None
     return values.sparkSession.range(1).select(F.lit(result).cast("double").alias("percentile"))
 
 
-def _top(values: DataFrame, percentile: float | None) -> Column:
-    if percentile is None:
-        return values.agg(F.max("value")).scalar()
-    return exact_percentile(values, "value", percentile).scalar()
+def _limits(values: DataFrame, percentile: float | None) -> tuple[float, float]:
+    """The least value, and a high percentile or the largest one."""
+    n, low, high = _spread(values, "value")
+    if not n:
+        raise ValueError("no finite values to take limits from")
+    return low, high if percentile is None else _percentile(values, "value", percentile, n, low, high)
 
 
-def _empty_guard(peak: Column, result: Column) -> Column:
-    nothing = F.raise_error(F.lit("no finite values to take limits from")).cast("double")
-    return F.when(peak.isNull(), nothing).otherwise(result)
+def _row(values: DataFrame, low: float, high: float) -> DataFrame:
+    return values.sparkSession.range(1).select(F.lit(low).alias("vmin"), F.lit(high).alias("vmax"))
 
 
 def shared_limits(
@@ -88,12 +100,9 @@ def shared_limits(
 ) -> DataFrame:
     """One row ``(vmin, vmax)``: smallest value or zero, and a high percentile of all values."""
     values = pooled(fields)
-    row = values.agg(F.min("value").alias("_min")).withColumn("_top", _top(values, percentile))
-    low = F.lit(0.0) if minimum_at_zero else F.col("_min")
-    return row.select(
-        _empty_guard(F.col("_min"), low).alias("vmin"),
-        F.when(F.col("_top") <= low, low + 1.0).otherwise(F.col("_top")).alias("vmax"),
-    )
+    low, top = _limits(values, percentile)
+    low = 0.0 if minimum_at_zero else low
+    return _row(values, low, top if top > low else low + 1.0)
 
 
 def symmetric_limits(
@@ -101,6 +110,6 @@ def symmetric_limits(
 ) -> DataFrame:
     """One row ``(vmin, vmax)`` centred on zero, from a percentile of the magnitudes."""
     sizes = pooled(fields).select(F.abs("value").alias("value"))
-    row = sizes.agg(F.min("value").alias("_min")).withColumn("_top", _top(sizes, percentile))
-    size = F.when(F.col("_top") <= 0, 1.0).otherwise(F.col("_top"))
-    return row.select((-_empty_guard(F.col("_min"), size)).alias("vmin"), size.alias("vmax"))
+    _, top = _limits(sizes, percentile)
+    size = top if top > 0 else 1.0
+    return _row(sizes, -size, size)

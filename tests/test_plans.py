@@ -238,3 +238,23 @@ def test_cold_statistics_of_one_pass(spark):
     assert (got["a"]["cold_event_count"], got["a"]["cold_total_hours"]) == (len(spells), float(sum(cold[k] for k in inside)))
     assert got["a"]["cold_longest_event_hours"] == 41.0 and got["none"]["cold_event_count"] == 0 and got["none"]["frequency"] == 0
     assert found.mask.where("cold_dunkelflaute").count() == got["a"]["cold_total_hours"]
+
+
+@pytest.mark.parametrize("kind", ["csv", "orc", "json"])
+def test_other_formats_keep_their_first_rows(spark, tmp_path, kind):
+    first, second = str(tmp_path / "m0"), str(tmp_path / "m1")
+    table = raw(spark, hours=6, lat=(46.0,))
+    for path, rows in ((first, table), (second, raw(spark, hours=2, lat=(46.0,), temperature=999.0))):
+        rows.write.format(kind).option("header", True).save(path)
+    choices = {"format": kind, "schema": table.schema, "options": {"header": True} if kind == "csv" else None}
+    out = standardise.open_product(spark, [first, second], "ara", temperature_unit="K", **choices)
+    assert {round(r.temperature_2m, 2) for r in out.collect()} == {6.85} and out.count() == 6
+
+
+def test_a_variable_that_some_files_lack(spark, tmp_path):
+    first, second = str(tmp_path / "m0"), str(tmp_path / "m1")
+    raw(spark, hours=3, lat=(46.0,)).drop("u10m").write.parquet(first)
+    raw(spark, hours=6, lat=(46.0,)).where("valid_time >= '2021-01-01 03:00:00'").write.parquet(second)
+    rows = standardise.open_product(spark, [first, second], "ara", temperature_unit="K").orderBy("time").collect()
+    assert [r.u_wind_10m for r in rows] == [None] * 3 + [3.0] * 3 and [r.wind_speed_10m for r in rows] == [None] * 3 + [5.0] * 3
+    assert [r.solar_radiation for r in rows] == [3.0] + [1.0] * 5

@@ -6,7 +6,7 @@ from aeolia.llm.alignment import op13_alignment
 from aeolia.llm.decontam import op3_decontam
 from aeolia.llm.licences import OP10_SQL, op10_licences
 from aeolia.llm.maxent import op5_maxent
-from aeolia.llm.near import op6_near
+from aeolia.llm.near import OP6_SQL, op6_near
 from aeolia.llm.personal import op4_personal
 from aeolia.llm.pieces import op9_pieces
 from aeolia.llm.quality import op1_quality
@@ -34,6 +34,7 @@ QUERIES = {
     "op13_alignment": op13_alignment,
 }
 ORACLES: dict[str, str] = {
+    "op6_near": OP6_SQL,
     "op7_stretches": OP7_STRETCHES_SQL,
     "op7_all_lines": OP7_ALL_SQL,
     "op10_licences": OP10_SQL,

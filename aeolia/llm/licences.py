@@ -60,7 +60,7 @@ SENTENCES = {
     "spdx license identifier gpl 3.0 only": "gpl3-ref",
     "spdx license identifier gpl 3.0 or later": "gpl3-ref",
 }
-#: Known sentences that the SQL does not have: with what follows the comma in the licences themselves.
+#: Known sentences with what follows the comma in the licences themselves.
 CONTINUED = {
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-as-is",
@@ -90,14 +90,9 @@ RULES = (
     ("unlicense", ("unlicense-ref",)),
 )
 NAMES = sorted({name for name, _ in RULES})
-#: For the SQL, where a sentence ends with its line: every known sentence has one of these; texts and sentences without are passed over.
-ANCHOR = "(?i)licen[sc]e|public domain|rights reserved|copyright|warranty|free software|gnu general"
-ENDS = r"[\n\r]+|[.!?;:,]*[.!?;][\x20\t]+"
-assert all(any(a in s for a in ("license", "public domain", "rights reserved", "copyright", "warranty", "free software", "gnu general")) for s in SENTENCES)
-
-
-#: Every text with one of the anchors has one of these, however its words are spaced or wrapped.
+#: Every known sentence has one of these words, however it is spaced or wrapped.
 MAYBE = "(?i)licen[sc]e|public|reserved|copyright|warranty|software|gnu"
+assert all(re.search(MAYBE, s) for s in SENTENCES | CONTINUED)
 _BY_WORDS = {s.replace(". ", " "): i for s, i in (SENTENCES | CONTINUED).items()}
 
 
@@ -140,16 +135,27 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    known = ", ".join(f"('{s}', '{i}')" for s, i in SENTENCES.items())
+    """The same in SQL whose patterns cannot look around: ends are doubled instead, so that neighbours share none."""
+    steps = (
+        (r"\r\n?", r"\n"), (r"[.!?;]([\x20\t\n]|$)", r"P\1"), (r"[^a-z0-9.P\n]+", " "), (r"\.{2,}", " "), (r"(^|[^a-z0-9])\.", r"\1 "), (r"\.([^a-z0-9]|$)", r" \1"),
+        (r"\x20+", " "), (r"\x20?\n\x20?(?:\n\x20?)+", "P"), (r"\x20?\n\x20?", "L"), (r"\x20?([PL])\x20?", r"\1"), (r"^\x20|\x20$", ""), ("([LP])", r"\1\1"),
+    )
+    plain_ = "lower(coalesce(text, ''))"
+    for x, y in steps:
+        plain_ = f"regexp_replace({plain_}, '{x}', {'chr(10)' if y == chr(92) + 'n' else repr(y).replace(chr(92) * 2, chr(92))}, 'g')"
+    gap = lambda s: re.sub(r"(\. )|( )", lambda m: "(?: |LL|PP)+" if m[1] else "(?: |LL)", s.replace(".0", r"\.0"))
+    sentences = "|".join(gap(s) for s in sorted(SENTENCES | CONTINUED, key=len, reverse=True))
+    known = ", ".join(f"('{s}', '{i}')" for s, i in _BY_WORDS.items())
     rules = ", ".join(f"('{n}', '{_rule(ids)}')" for n, ids in RULES)
     return f"""
 WITH known(s, i) AS (VALUES {known}), rules(name, rule) AS (VALUES {rules}),
-parts AS (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{ENDS}') AS p FROM documents)),
-named AS (SELECT doc_id, k, i FROM parts JOIN known ON s = regexp_replace(regexp_replace(lower(x), '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g') WHERE regexp_matches(x, '{ANCHOR}')),
-seq AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY k) AS ids FROM named GROUP BY doc_id),
-found AS (SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM seq JOIN rules ON regexp_matches(',' || ids || ',', rule) GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
-FROM documents d LEFT JOIN seq USING (doc_id) LEFT JOIN found USING (doc_id)
+plain AS (SELECT doc_id, row_number() OVER () AS r, {plain_} AS t FROM documents),
+parts AS (SELECT r, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM (SELECT r, regexp_extract_all('P' || t || 'P', '[LP]({sentences})[LP]', 1) AS p FROM plain)),
+named AS (SELECT r, k, i FROM parts JOIN known ON s = regexp_replace(x, '[ LP]+', ' ', 'g')),
+seq AS (SELECT r, count(*) AS n, string_agg(i, ',' ORDER BY k) AS ids FROM named GROUP BY r),
+found AS (SELECT r, string_agg(DISTINCT name, ',' ORDER BY name) AS licences FROM seq JOIN rules ON regexp_matches(',' || ids || ',', rule) GROUP BY r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licences, '') AS licences
+FROM plain LEFT JOIN seq USING (r) LEFT JOIN found USING (r)
 """
 
 

@@ -396,3 +396,20 @@ def jaccard_components(docs: DataFrame, k: int, percent: int, id_col: str = "doc
 
 def op6_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+_SQL_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w WHERE w IS NOT NULL),
+n AS (SELECT doc_id, len(s) AS n FROM sets WHERE doc_id IS NOT NULL),
+t AS (SELECT doc_id, unnest(s) AS t FROM sets WHERE doc_id IS NOT NULL),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM t AS a JOIN t AS b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM met JOIN n AS a ON a.doc_id = x JOIN n AS b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach(d, r) AS (SELECT x, x FROM edges UNION SELECT reach.d, edges.y FROM reach JOIN edges ON edges.x = reach.r),
+least AS (SELECT d, min(r) AS c FROM reach GROUP BY d)
+SELECT documents.doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, coalesce(c, documents.doc_id) AS component_id
+FROM documents LEFT JOIN sets ON sets.doc_id = documents.doc_id LEFT JOIN least ON d = documents.doc_id
+"""

@@ -2,7 +2,10 @@
 
 import itertools
 
+import duckdb
+
 from aeolia.llm import licences
+from tests.comparing import of_duckdb, of_spark
 
 
 MIT = """Permission is hereby granted, free of charge, to any person
@@ -48,3 +51,18 @@ def test_licences_apart_and_spaced(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
     assert got == {0: "public-domain", 1: "public-domain", 2: "", 3: "", 4: "", 5: "mit", 6: "rights-reserved"}
+
+
+def test_sql_says_the_same_of_wrapped_headers(spark):
+    signs = ["", " * ", "# ", "// ", "-- ", "\t"]
+    texts = ["".join(s + x for x in t.splitlines(True)).replace("\n", e) for t, _ in WRAPPED.values() for s in signs for e in ("\n", "\r\n", "\r")]
+    texts += [a + gap + b for (a, _), (b, _) in itertools.product(WRAPPED.values(), repeat=2) for gap in ("", "\n", "\n\n", " -- ")]
+    texts += [
+        "Released into the public  domain.", "all rights\n\nreserved", "All rights.\nReserved", "MIT License. MIT License; MIT License\nMIT License", "a..b All rights reserved", "...\nAll rights reserved..", None, "",
+        "v2.0. All rights reserved! x", "PLP All rights reserved L", "not all rights reserved", "All rights reserved." * 3, "All rights reserved. " * 3,
+    ]
+    docs = spark.createDataFrame([(k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(k // 2, t) for k, t in enumerate(texts)])
+    assert of_spark(licences.scan(docs)) == of_duckdb(con, licences.OP10_SQL)

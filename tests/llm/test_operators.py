@@ -215,7 +215,7 @@ def test_units_and_licences_same_as_sql(spark):
 def test_units_keep_the_first(spark, nothing):
     long = "One  two three four five six seven eight nine ten"
     docs = spark.createDataFrame([(2, f"short\n{long}\nend"), (1, f"{long.lower()}\n{long}"), (3, None), (None, long), (4, "short\nshort")], "doc_id long, text string")
-    got = {(r.doc_id, r.start, r.end, r.kept_id, r.kept_start) for r in units.repeats(docs).collect()}
+    got = {(r.doc_id, r.start, r.end, r.kept_id, r.kept_start) for r in units.repeats(docs, least_words=10).collect()}
     assert got == {(2, 6, 6 + len(long), 1, 0), (1, len(long) + 1, 2 * len(long) + 1, 1, 0)}
     assert units.repeats(nothing).count() == 0
 

@@ -154,18 +154,26 @@ class Weights:
         return Weights(zeros(3 * sizes.contexts + sizes.pairs, sizes.k), zeros(2 * sizes.inner, sizes.class_size), log(class_counts), inner)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the share of one column in each row's softmax."""
+    z -= z.max(axis=1, keepdims=True)
+    own = z[np.arange(len(z)), chosen]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
 
 
 def log_probability(w: Weights, cls, place, outer, inner) -> np.ndarray:
     """Natural logarithms; of a rest token without its share within the class."""
-    n = np.arange(len(cls))
-    out = _log_softmax(w.outer[outer].sum(axis=1) + w.outer_bias)[n, cls]
+    out = _log_share(w.outer[outer].sum(axis=1) + w.outer_bias, cls)
     own = np.flatnonzero(place >= 0)
-    z = w.inner[inner[own]].sum(axis=1) + w.inner_bias[cls[own]]
-    out[own] += _log_softmax(z)[np.arange(len(own)), place[own] % w.inner.shape[1]]
+    out[own] += _log_share(w.inner[inner[own]].sum(axis=1) + w.inner_bias[cls[own]], place[own] % w.inner.shape[1])
     return out
 
 
@@ -183,14 +191,14 @@ def train_batch(w: Weights, seen: tuple[np.ndarray, np.ndarray], cls, place, out
     for a in range(0, len(cls), BATCH):
         s = np.s_[a : a + BATCH]
         y, o, n = cls[s], outer[s], np.arange(len(cls[s]))
-        g = -np.exp(_log_softmax(w.outer[o].sum(axis=1) + w.outer_bias))
+        g = -_softmax(w.outer[o].sum(axis=1) + w.outer_bias)
         g[n, y] += 1
         for j in range(o.shape[1]):
             _step(w.outer, seen[0], o[:, j], g)
         own = np.flatnonzero(place[s] >= 0)
         if len(own):
             i = inner[s][own]
-            g = -np.exp(_log_softmax(w.inner[i].sum(axis=1) + w.inner_bias[y[own]]))
+            g = -_softmax(w.inner[i].sum(axis=1) + w.inner_bias[y[own]])
             g[np.arange(len(own)), place[s][own] % w.inner.shape[1]] += 1
             for j in range(i.shape[1]):
                 _step(w.inner, seen[1], i[:, j], g)

@@ -3,13 +3,17 @@
 The given tables hold no weather. These views derive an hourly lattice and its companions
 from events, supplier, lineitem and customer by integer arithmetic, so that every engine
 computes each value alike and the rows grow with the tables.
+
+Where the plain text would have Spark make the rows of all cells in one task, Spark gets the same rows by
+the texts of ``SPREAD``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-__all__ = ["VIEWS", "portable", "view", "write_views"]
+__all__ = ["SPREAD", "VIEWS", "portable", "view", "write_views"]
 
 _WX = """
 SELECT 'synthetic' AS product, lat.time, lat.u AS cell_id,
@@ -79,8 +83,29 @@ SELECT 'series' AS product, 46.0e0 AS latitude, 8.0e0 AS longitude, CAST(CAST(l_
   avg(l_discount) * 20 AS precipitation FROM {lineitem} GROUP BY CAST(l_shipdate AS DATE)"""),
 }
 
+#: Cells that a task makes the hours of: what a task holds does not grow with the tables.
+CELLS_OF_A_TASK = 500
+
+_EV = """LEFT JOIN (SELECT user_id AS u, CAST(date_trunc('HOUR', ts) AS {TS}) AS time, max(value) AS ev FROM {events} GROUP BY 1, 2) AS ev
+ON ev.u = lat.u AND ev.time = lat.time
+"""
+
+#: Views whose rows Spark makes by another text. The lattice: a row for each user with the values of its hours, spread over
+#: tasks before the hours are made, so that no hour is moved.
+SPREAD = {
+    "wx": (("events", "users"), _WX.replace(_EV, "").replace("coalesce(ev.ev, 0)", "coalesce(try_element_at(lat.found, lat.time), 0)")
+           .replace("SELECT users.u, h, t0", "SELECT users.u, users.found, h, t0")
+           .replace("(SELECT DISTINCT user_id AS u FROM {events})", "{users}")
+           .replace("(SELECT h FROM range(720) AS t(h))", "LATERAL (SELECT explode(sequence(0L, 719L)) AS h)")),
+    "users": (("events", "user_hours"), """
+SELECT u, map_from_entries(collect_list(CASE WHEN time >= t0 AND time < t0 + INTERVAL '720' HOUR THEN struct(time, ev) END)) AS found
+FROM {user_hours} CROSS JOIN (SELECT CAST(CAST(min(ts) AS DATE) AS {TS}) AS t0 FROM {events}) AS start GROUP BY u"""),
+    "user_hours": (("events",), "SELECT user_id AS u, CAST(date_trunc('HOUR', ts) AS {TS}) AS time, max(value) AS ev FROM {events} GROUP BY 1, 2"),
+}
+
 
 _written: dict[tuple[str, str], str] = {}
+_users: dict[str, int] = {}
 
 
 def write_views(spark: SparkSession, sf_dir: str, folder: str, *names: str) -> None:
@@ -94,10 +119,21 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of a view over the tables in a folder; a given table's own rows by its name."""
     if (sf_dir, name) in _written:
         return spark.read.parquet(_written[sf_dir, name])
-    if name not in VIEWS:
+    if name not in SPREAD and name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    tables, text = VIEWS[name]
-    return spark.sql(text.replace("{TS}", "TIMESTAMP_NTZ"), **{t: view(spark, sf_dir, t) for t in tables})
+    tables, text = SPREAD.get(name) or VIEWS[name]
+    made = spark.sql(text.replace("{TS}", "TIMESTAMP_NTZ"), **{t: view(spark, sf_dir, t) for t in tables})
+    if name == "user_hours":
+        # By number, as the sizes of these few rows say nothing of the hours made of them.
+        return made.repartition(_tasks(spark, sf_dir), "u")
+    return made
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    """How many tasks the lattice takes; about, as only the spread depends on it."""
+    if sf_dir not in _users:
+        _users[sf_dir] = view(spark, sf_dir, "events").agg(F.approx_count_distinct("user_id")).first()[0]
+    return max(1, -(-_users[sf_dir] // CELLS_OF_A_TASK))
 
 
 def portable(*names: str) -> str:

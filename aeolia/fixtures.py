@@ -4,8 +4,8 @@ The given tables hold no weather. These views derive an hourly lattice and its c
 from events, supplier, lineitem and customer by integer arithmetic, so that every engine
 computes each value alike and the rows grow with the tables.
 
-Where the plain text would have Spark make the rows of all cells in one task, Spark gets the same rows by
-the texts of ``SPREAD``.
+Where the plain text would have Spark make the rows of all cells in one task, or pair every customer with
+every cell, Spark gets the same rows by the texts of ``SPREAD``.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ ON ev.u = lat.u AND ev.time = lat.time
 """
 
 #: Views whose rows Spark makes by another text. The lattice: a row for each user with the values of its hours, spread over
-#: tasks before the hours are made, so that no hour is moved.
+#: tasks before the hours are made, so that no hour is moved. People: customers are counted before the join.
 SPREAD = {
     "wx": (("events", "users"), _WX.replace(_EV, "").replace("coalesce(ev.ev, 0)", "coalesce(try_element_at(lat.found, lat.time), 0)")
            .replace("SELECT users.u, h, t0", "SELECT users.u, users.found, h, t0")
@@ -101,6 +101,10 @@ SPREAD = {
 SELECT u, map_from_entries(collect_list(CASE WHEN time >= t0 AND time < t0 + INTERVAL '720' HOUR THEN struct(time, ev) END)) AS found
 FROM {user_hours} CROSS JOIN (SELECT CAST(CAST(min(ts) AS DATE) AS {TS}) AS t0 FROM {events}) AS start GROUP BY u"""),
     "user_hours": (("events",), "SELECT user_id AS u, CAST(date_trunc('HOUR', ts) AS {TS}) AS time, max(value) AS ev FROM {events} GROUP BY 1, 2"),
+    "people": (("w", "customer"), """
+SELECT c.latitude, c.longitude, CAST(sum(n) AS DOUBLE) * 10 AS population
+FROM (SELECT DISTINCT latitude, longitude, cast(round((latitude - 43) / 0.15e0) AS BIGINT) AS k FROM {w}) AS c
+JOIN (SELECT c_custkey % 40 AS k, count(*) AS n FROM {customer} GROUP BY 1) AS p ON p.k = c.k GROUP BY c.latitude, c.longitude"""),
 }
 
 

@@ -43,3 +43,8 @@ def test_hours_of_few_cells_in_a_task(spark, odd, monkeypatch):
     cells = sum(r["n"] for r in rows) // 720
     assert cells == 94 and len(rows) > 4
     assert max(r["n"] for r in rows) <= 3 * 10 * 720
+
+
+def test_customers_are_counted_before_they_meet_cells(spark, odd):
+    plan = fixtures.view(spark, odd, "people")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("count(1)")

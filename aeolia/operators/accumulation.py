@@ -106,7 +106,8 @@ def _leading(df: DataFrame, keys: list[str], time: str, sample_steps: int) -> Da
     # Spark prunes ranks within each task before the shuffle, so few steps travel.
     last = ranked.filter(F.col("_rank") <= sample_steps).groupBy(*keys).agg(F.max(time).alias("_last"))
     return (
-        df.join(last, keys) if keys else df.withColumn("_last", last.scalar())
+        # A row for each product: joined by product, all rows of one would meet in a task.
+        df.join(F.broadcast(last), keys) if keys else df.withColumn("_last", last.scalar())
     ).filter(F.col(time) <= F.col("_last"))
 
 

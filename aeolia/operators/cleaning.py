@@ -156,7 +156,8 @@ def control_member(df: DataFrame, member: str = "number", by=("product",)) -> Da
     )
     if not keys:
         return df.filter(F.col(member) == chosen.scalar())
-    return df.join(chosen, keys).filter(F.col(member) == F.col("_member")).drop("_member")
+    # A row for each product: joined by product, all rows of one would meet in a task.
+    return df.join(F.broadcast(chosen), keys).filter(F.col(member) == F.col("_member")).drop("_member")
 
 
 def derive_wind_speeds(

@@ -167,7 +167,8 @@ def resolve_gusts(
         if wind not in df.columns:
             return df.withColumns({output: F.col(native), "gust_source": F.lit("native")})
         known = df.groupBy(*product).agg(own)
-        told = df.join(known, product) if product else df.withColumn("_native", known.scalar())
+        # A row for each product: joined by product, all rows of one would meet in a task.
+        told = df.join(F.broadcast(known), product) if product else df.withColumn("_native", known.scalar())
         kept = told.filter("_native").withColumns({output: F.col(native), "gust_source": F.lit("native")})
         rest = told.filter("NOT _native").drop(output) if output != native else told.filter("NOT _native")
         estimated = estimate_gusts(rest, wind, k, output=output, cell=cell, time=time, block_hours=block_hours)

@@ -48,3 +48,16 @@ def test_hours_of_few_cells_in_a_task(spark, odd, monkeypatch):
 def test_customers_are_counted_before_they_meet_cells(spark, odd):
     plan = fixtures.view(spark, odd, "people")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("count(1)")
+
+
+def test_rows_of_a_product_do_not_meet_in_a_task(spark):
+    from aeolia.operators import accumulation, cleaning, storms
+
+    rows = spark.range(20).selectExpr("IF(id % 2 = 0, 'a', 'b') AS product", "id * 1.0 AS latitude", "0.0 AS longitude", "timestamp_ntz'2024-01-01' + id * INTERVAL '1' HOUR AS time", "id % 3 AS number", "id * 1.0 AS wind_speed_10m", "IF(id % 2 = 0, 3.0, NULL) AS wind_gust_10m")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for made in (storms.resolve_gusts(rows), cleaning.control_member(rows), accumulation._leading(rows, ["product"], "time", 3)):
+            assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

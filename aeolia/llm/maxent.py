@@ -41,6 +41,8 @@ CONTEXTS = VOCABULARY + REST_CLASSES + 1
 PAIRS = INNER = 1 << 14
 MOST_FREQUENT = 1 << 18
 ROUNDS, BATCH, RATE = 2, 4096, 0.15
+# Tokens scored at a time, few enough that their numbers stay in a core's cache.
+SCORED = 2048
 END = np.uint64(0x656E64)
 BLOCKS = 16
 LOG10 = math.log(10)
@@ -154,6 +156,14 @@ class Weights:
         return Weights(zeros(3 * sizes.contexts + sizes.pairs, sizes.k), zeros(2 * sizes.inner, sizes.class_size), log(class_counts), inner)
 
 
+def _summed(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of some rows of a table for each line of ``rows``, added one after another without a copy of all."""
+    z = table[rows[:, 0]]
+    for j in range(1, rows.shape[1]):
+        z += table[rows[:, j]]
+    return z
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
@@ -171,9 +181,9 @@ def _log_share(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
 
 def log_probability(w: Weights, cls, place, outer, inner) -> np.ndarray:
     """Natural logarithms; of a rest token without its share within the class."""
-    out = _log_share(w.outer[outer].sum(axis=1) + w.outer_bias, cls)
+    out = _log_share(_summed(w.outer, outer) + w.outer_bias, cls)
     own = np.flatnonzero(place >= 0)
-    out[own] += _log_share(w.inner[inner[own]].sum(axis=1) + w.inner_bias[cls[own]], place[own] % w.inner.shape[1])
+    out[own] += _log_share(_summed(w.inner, inner[own]) + w.inner_bias[cls[own]], place[own] % w.inner.shape[1])
     return out
 
 
@@ -191,14 +201,14 @@ def train_batch(w: Weights, seen: tuple[np.ndarray, np.ndarray], cls, place, out
     for a in range(0, len(cls), BATCH):
         s = np.s_[a : a + BATCH]
         y, o, n = cls[s], outer[s], np.arange(len(cls[s]))
-        g = -_softmax(w.outer[o].sum(axis=1) + w.outer_bias)
+        g = -_softmax(_summed(w.outer, o) + w.outer_bias)
         g[n, y] += 1
         for j in range(o.shape[1]):
             _step(w.outer, seen[0], o[:, j], g)
         own = np.flatnonzero(place[s] >= 0)
         if len(own):
             i = inner[s][own]
-            g = -_softmax(w.inner[i].sum(axis=1) + w.inner_bias[y[own]])
+            g = -_softmax(_summed(w.inner, i) + w.inner_bias[y[own]])
             g[np.arange(len(own)), place[s][own] % w.inner.shape[1]] += 1
             for j in range(i.shape[1]):
                 _step(w.inner, seen[1], i[:, j], g)
@@ -285,7 +295,7 @@ def scored(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col:
                 count, place = looked_up(hashes, known.value)
                 rest = rest % sizes.rest_classes
                 cls, outer, inner = features(place, rest, row, sizes)
-                logs = np.concatenate([log_probability(weights.value, *(x[a : a + 65536] for x in (cls, place, outer, inner))) for a in range(0, len(cls), 65536)]) / LOG10
+                logs = np.concatenate([log_probability(weights.value, *(x[a : a + SCORED] for x in (cls, place, outer, inner))) for a in range(0, len(cls), SCORED)]) / LOG10
                 logs -= np.where(place < 0, rest_total[rest], 0)
                 found = count >= 0
                 plus = np.where(found, np.log10(np.maximum(count, 0) + 0.5), 0)

@@ -42,15 +42,19 @@ def sustained(
     dt_s = int(round(dt * 3600))
     reach = (need - 1) * dt_s
     length = block_seconds(block_hours, reach)
+    keys = cell_columns(df, cell)
+    rows = _run_ids(with_halo(flagged, length, reach, reach, time), keys, dt_s)
+    # Asked in the order of time only, so that a task sorts its rows once: a step lies in a long enough
+    # run if one of the steps up to it, no further back than the reach, begins need steps of one run.
+    along = Window.partitionBy(*keys, "_blk").orderBy("_t")
+    begins = F.col("_on") & holds(F.lead("_run", need - 1).over(along) == F.col("_run"))
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        _run_ids(with_halo(flagged, length, reach, reach, time), cell_columns(df, cell), dt_s)
-        .withColumn(
-            "_len",
-            F.count_if("_on").over(Window.partitionBy(*cell_columns(df, cell), "_blk", "_run")),
-        )
+        rows.withColumn("_begins", F.when(begins, F.col("_t")))
+        .withColumn("_begun", F.max("_begins").over(so_far))
         .filter(own_block(length))
-        .withColumn(output, F.col("_on") & (F.col("_len") >= need))
-        .drop("_on", "_run", "_len", "_t", "_blk")
+        .withColumn(output, F.col("_on") & holds(F.col("_begun") >= F.col("_t") - reach))
+        .drop("_on", "_run", "_begins", "_begun", "_t", "_blk")
     )
 
 

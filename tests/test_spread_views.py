@@ -1,6 +1,7 @@
 """The lattice and the people as Spark makes them: the rows of the plain texts, in bounded tasks."""
 
-from datetime import datetime
+import random
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,26 @@ def test_rows_of_a_product_do_not_meet_in_a_task(spark):
             assert "BroadcastHashJoin" in made._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_steps_of_runs_are_sorted_once(spark):
+    from aeolia.operators import runs
+
+    rng = random.Random(4)
+    steps = [(c, datetime(2024, 1, 1) + timedelta(hours=h), rng.random() < 0.8) for c in range(4) for h in range(24 * 40) if rng.random() < 0.97]
+    steps += [(9, datetime(2024, 1, 1) + timedelta(hours=h), True) for h in range(24 * 20)]
+    rows = spark.createDataFrame([("p", float(c), t, v if rng.random() < 0.95 else None) for c, t, v in steps], "product string, latitude double, time timestamp_ntz, low boolean")
+    for need, block in ((2, 24), (6, 24), (6, 2160), (48, 24)):
+        made = runs.sustained(rows, F.col("low"), min_duration_hours=need, timestep_hours=1.0, block_hours=block)
+        assert made._jdf.queryExecution().executedPlan().toString().count(" Sort [") == 1
+        got = {(r.latitude, r.time): r.sustained for r in made.collect()}
+        want, hours = {}, {(r.latitude, r.time): bool(r.low) for r in rows.collect()}
+        for at, low in sorted(hours.items()):
+            run = [at] if low else []
+            for step in (1, -1):
+                k = 1
+                while low and hours.get((at[0], at[1] + timedelta(hours=step * k))):
+                    run.append(k)
+                    k += 1
+            want[at] = len(run) >= need
+        assert got == want and len(got) == rows.count()
